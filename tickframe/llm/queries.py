@@ -11,13 +11,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, quality
+from . import decontaminate, linededup, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    names = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), names, (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op8_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.host_quality(_table(spark, sf_dir, "documents")).drop("source")
 
@@ -28,10 +34,39 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_decontamination": op6_decontamination,
     "op8_host_quality": op8_host_quality,
     "op9_line_dedup": op9_line_dedup,
 }
 
+_OP6_SQL = r"""
+WITH words AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                     '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws
+    FROM documents
+), items AS (
+    SELECT item_id::VARCHAR AS item, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                                       '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws
+    FROM benchmark
+), sized AS (
+    SELECT item, ws, least(10, len(ws)) AS n FROM items WHERE len(ws) > 0
+), windows AS (
+    SELECT DISTINCT item, n, array_to_string(ws[i : i + n - 1], ' ') AS g FROM (SELECT item, ws, n, unnest(generate_series(1, len(ws) - n + 1)) AS i FROM sized)
+), grams AS (
+    SELECT doc_id, n, i, array_to_string(ws[i : i + n - 1], ' ') AS g
+    FROM (SELECT doc_id, ws, n, unnest(generate_series(1, len(ws) - n + 1)) AS i FROM words, (SELECT DISTINCT n FROM sized) WHERE len(ws) >= n)
+), found AS (
+    SELECT doc_id, i, n, item FROM grams JOIN windows USING (n, g)
+), hit AS (
+    SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + n - 1)) AS p FROM found) GROUP BY doc_id
+), named AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY doc_id
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM words LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
 _OP8_SQL = r"""
 WITH t AS (
     SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text FROM documents
@@ -85,6 +120,7 @@ FROM marked GROUP BY doc_id
 """
 
 ORACLE_SQL: dict[str, str] = {
+    "op6_decontamination": _OP6_SQL,
     "op8_host_quality": _OP8_SQL,
     "op9_line_dedup": _OP9_SQL,
 }
