@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, linededup, quality, secrets, tokencount
+from . import decontaminate, jaccard, licenses, linededup, quality, secrets, tokencount
 from .shared import scratch_path
 
 
@@ -32,6 +32,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents")).drop("detections")
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     names = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
@@ -54,6 +58,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op4_secret_scan": op4_secret_scan,
+    "op5_license_scan": op5_license_scan,
     "op6_decontamination": op6_decontamination,
     "op8_host_quality": op8_host_quality,
     "op9_line_dedup": op9_line_dedup,
