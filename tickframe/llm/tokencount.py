@@ -128,5 +128,6 @@ def count_tokens(docs: DataFrame, *, tokenizer_path: str, cache_path: str, id_co
                 yield pa.RecordBatch.from_arrays([b.column("d1"), b.column("d2"), pa.array([version] * len(n)), pa.array(n, pa.int64())], names=["d1", "d2", "tokenizer", "n_tokens"])
 
         texts.select("d1", "d2", "text").mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache_path)
-    out = rows.join(_read_cache(spark, cache_path, version), ["d1", "d2"])
+    # Written first, so that both sides of the join are plain exchanges and a hot digest can be split.
+    out = rows.join(stash(_read_cache(spark, cache_path, version), "counts"), ["d1", "d2"])
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
