@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard, licenses, linededup, quality, secrets, tokencount
+from . import chat, decontaminate, jaccard, licenses, linededup, packing, quality, secrets, sharding, tokencount
 from .shared import scratch_path
 
 
@@ -24,6 +24,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(packing.word_counts(_table(spark, sf_dir, "documents")))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -74,6 +78,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), names, (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_by_bytes(_table(spark, sf_dir, "documents"))
+
+
 def op8_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.host_quality(_table(spark, sf_dir, "documents")).drop("source")
 
@@ -88,11 +96,13 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_best_fit_packing": op1_best_fit_packing,
     "op2_token_counts": op2_token_counts,
     "op3_chat_format": op3_chat_format,
     "op4_secret_scan": op4_secret_scan,
     "op5_license_scan": op5_license_scan,
     "op6_decontamination": op6_decontamination,
+    "op7_sharding": op7_sharding,
     "op8_host_quality": op8_host_quality,
     "op9_line_dedup": op9_line_dedup,
     "op10_jaccard_join": op10_jaccard_join,
