@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickframe.llm import linededup, quality
+from tickframe.llm import decontaminate, jaccard, linededup, packing, quality
+from tickframe.llm.shared import stash
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,14 +20,34 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return out.select(docs.columns)
 
 
-STAGES = [("quality_rules", keep_quality), ("line_dedup", drop_repeated_lines)]
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the one with the smallest id, of each group linked by five-word shingles at a similarity of 0.8."""
+    return jaccard.drop_near_duplicates(docs, words=5, num=4, den=5)
+
+
+def drop_benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no 10-word window of the benchmark."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document goes in sequences of 2048 words."""
+    return packing.pack_documents(packing.word_counts(docs))
+
+
+STAGES = [
+    ("quality_rules", keep_quality),
+    ("line_dedup", drop_repeated_lines),
+    ("jaccard_join", keep_one_of_near_copies),
+    ("decontamination", drop_benchmark_copies),
+    ("best_fit_packing", pack),
+]
+#: The bins depend on the order of best fit, which SQL does not express; tests hold the pipeline against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written as Parquet and read again as the next one's input."""
-    from tickframe.llm.shared import stash
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
