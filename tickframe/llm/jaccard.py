@@ -267,11 +267,11 @@ def _cross_pairs(members: DataFrame, sets: DataFrame, num: int, den: int) -> Dat
     return found.distinct()
 
 
-def _wider(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
-    """The rows of ``docs`` whose id stands in ``ids`` (``rep``), few ids being sent to the executors."""
+def _texts_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The texts (``text``) of the rows whose id stands in ``ids`` (``rep``), few ids being sent to the executors."""
     ids = stash(ids.distinct(), "picked")
     few = F.broadcast(ids) if ids.count() <= MOST_IDS else ids
-    return docs.join(few, F.col(id_col) == F.col("rep"), "left_semi")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(few, F.col("id") == F.col("rep"), "left_semi")
 
 
 def jaccard_groups(docs: DataFrame, *, words: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -302,7 +302,7 @@ def jaccard_groups(docs: DataFrame, *, words: int = 5, num: int = 4, den: int =
     buckets = stash(keyed.where("lo <> hi").select("key", "h").distinct(), "buckets")
     sizes = buckets.groupBy("key").agg(F.count("*").alias("size"))
     sized = stash(buckets.join(sizes, "key"), "buckets")
-    sets = stash(shingle_sets(_wider(docs, sized.select("h").distinct().join(reps, "h").select("rep"), id_col), words, num, den, text_col=text_col), "sets")
+    sets = stash(shingle_sets(_texts_of(docs, sized.select("h").distinct().join(reps, "h").select("rep"), id_col, text_col), words, num, den), "sets")
 
     # The member whose buckets are fullest is the likeliest centre of a bucket.
     weight = sized.groupBy("h").agg(F.sum("size").alias("weight"))
@@ -320,6 +320,7 @@ def jaccard_groups(docs: DataFrame, *, words: int = 5, num: int = 4, den: int =
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     linked = named.join(least, "root").select("h", "component_id")
     known = reps.join(linked, "h", "left").where("copies > 1 or component_id is not null").select("h", F.coalesce("component_id", "rep").alias("component_id"))
+    known = stash(known, "known")  # so that both sides of the join are plain exchanges and a hot class can be split
     out = classes.join(known, (F.col("h1") == F.col("h")) & (F.col("n_shingles") > 0), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 

@@ -90,7 +90,7 @@ def host_quality(
     rows = stash(rule_features(docs, id_col=id_col, text_col=text_col, host_col=host_col), "quality")
     rows = rows.withColumn("base_failed", _failed(min_words, max_repeat_percent))
     bad = rejected_hosts(rows, host_failure_limit)
-    held = rows.join(bad.withColumn("bad", F.lit(True)), rows.source.eqNullSafe(bad.bad_source), "left")
+    held = rows.join(bad.withColumn("bad", F.lit(True)), rows.source.eqNullSafe(bad.__bad_source), "left")
     kept = ~F.col("base_failed") & F.col("bad").isNull()
     return held.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "source")
 
@@ -100,7 +100,7 @@ def _failed(min_words: int, max_repeat_percent: int) -> Column:
 
 
 def rejected_hosts(rows: DataFrame, host_failure_limit: float) -> DataFrame:
-    """The hosts (``bad_source``) of ``rows`` (``source, base_failed``) whose shrunk failure rate exceeds the limit."""
+    """The hosts (``__bad_source``) of ``rows`` (``source, base_failed``) whose shrunk failure rate exceeds the limit."""
     hosts = stash(rows.groupBy("source").agg(F.count("*").alias("n"), F.sum(F.col("base_failed").cast("long")).alias("f")), "hosts")
     rate = F.col("f") / F.col("n")
     m, v, k = hosts.agg(F.avg(rate), F.var_samp(rate), F.count("*")).first()
@@ -108,7 +108,7 @@ def rejected_hosts(rows: DataFrame, host_failure_limit: float) -> DataFrame:
     if k > 1 and v and 0 < m < 1 and v < m * (1 - m):
         s = m * (1 - m) / v - 1
         a, b = m * s, (1 - m) * s
-    return hosts.where((F.col("f") + a) / (F.col("n") + a + b) > host_failure_limit).select(F.col("source").alias("bad_source"))
+    return hosts.where((F.col("f") + a) / (F.col("n") + a + b) > host_failure_limit).select(F.col("source").alias("__bad_source"))
 
 
 def drop_low_quality(
@@ -127,4 +127,4 @@ def drop_low_quality(
             found = [_features(x) for x in texts(b.column(text_col))]
             yield b.filter(pa.array([n >= min_words and 100 * r <= max_repeat_percent * n for n, *_, r in found], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema).join(bad, F.col(host_col).cast("string").eqNullSafe(F.col("bad_source")), "left_anti")
+    return docs.mapInArrow(run, docs.schema).join(bad, F.col(host_col).cast("string").eqNullSafe(F.col("__bad_source")), "left_anti")
