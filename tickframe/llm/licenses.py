@@ -13,10 +13,10 @@ from .spans import matches, once
 #: Phrases that always give their label.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
-#: What a gated text must hold, in any case, for a rule or a base phrase to match.
+#: Single words or their beginnings, of which a text must hold one, in any case, for a rule or a base phrase to match.
 KEYWORDS = (
-    "licen", "copyright", "copyleft", "spdx", "mit", "apache", "gpl", "gnu", "bsd", "mozilla", "mpl", "eclipse", "creative", "cc", "public domain",
-    "warranty", "redistribution", "rights reserved", "permission", "wtfpl", "boost", "zlib", "artistic", "eupl", "cecill", "openssl", "unicode",
+    "licen", "copyright", "copyleft", "spdx", "mit", "apache", "gpl", "gnu", "bsd", "mozilla", "mpl", "eclipse", "creative", "cc", "public",
+    "warranty", "redistribution", "reserved", "permission", "endorse", "advertising", "wtfpl", "boost", "zlib", "artistic", "eupl", "cecill", "openssl", "unicode",
 )
 
 #: Licences: SPDX-like label, then the ways their names are written as lower-case words (regexes).
