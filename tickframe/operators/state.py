@@ -30,23 +30,33 @@ def carry_forward(rows: DataFrame, keys: list[str], order: str, props: dict[str,
     return filled.select(*kept, *(F.coalesce(f"__own_{n}", f"__in_{n}").alias(n) for n in props))
 
 
-def as_of(probes: DataFrame, deltas: DataFrame, keys: list[str], order: str, props: list[str], types: dict[str, str] | None = None) -> DataFrame:
+def as_of(probes: DataFrame, deltas: DataFrame, keys: list[str], order: str, props: list[str], types: dict[str, str] | None = None, resets: DataFrame | None = None) -> DataFrame:
     """``probes`` with the values that ``deltas`` (keys, order, prop, value) last wrote at or before each.
 
     Deltas and probes are laid in one sequence and filled by one window for all properties; a
-    delta at a probe's own position counts.  Keys that are null on the probe match nothing.
+    delta at a probe's own position counts.  ``resets`` (keys, order) forget all earlier values
+    of a key: a slot's new life, or its end.  Keys that are null on the probe match nothing.
     """
-    wide = deltas.where(F.col("prop").isin(props)).select(*keys, order, F.lit(0).alias("__probe"), *(F.when(F.col("prop") == p, F.col("value")).alias(p) for p in props))
+    wide = deltas.where(F.col("prop").isin(props)).select(*keys, order, F.lit(1).alias("__kind"), *(F.when(F.col("prop") == p, F.col("value")).alias(p) for p in props))
     mine = [c for c in probes.columns if c not in keys and c != order]
-    probe = probes.select(*keys, order, F.lit(1).alias("__probe"), F.struct(*mine or [F.lit(1).alias("__none")]).alias("__row"))
+    probe = probes.select(*keys, order, F.lit(2).alias("__kind"), F.struct(*[F.col(f"`{c}`").alias(c) for c in mine] or [F.lit(1).alias("__none")]).alias("__row"))
     both = wide.unionByName(probe, allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy(order, "__probe")
+    by = list(keys)
+    if resets is not None:
+        both = both.unionByName(resets.select(*keys, order, F.lit(0).alias("__kind")), allowMissingColumns=True)
+        life = F.sum((F.col("__kind") == 0).cast("int")).over(Window.partitionBy(*keys).orderBy(order, "__kind"))
+        both, by = both.withColumn("__life", life), [*keys, "__life"]
+    w = Window.partitionBy(*by).orderBy(order, "__kind")
     known = F.lit(True)
     for k in keys:
         known &= F.col(k).isNotNull()
-    filled = both.withColumns({p: F.when(known, F.last(p, ignorenulls=True).over(w)) for p in props}).where("__probe = 1")
-    cast = [F.col(f"`{p}`").cast((types or {}).get(p, "string")).alias(p) for p in props]
-    return filled.select(*keys, order, *(F.col(f"__row.{c}").alias(c) for c in mine), *cast)
+    filled = both.withColumns({p: F.when(known, F.last(f"`{p}`", ignorenulls=True).over(w)) for p in props}).where("__kind = 2")
+    cast = [_typed(F.col(f"`{p}`"), (types or {}).get(p, "string")).alias(p) for p in props]
+    return filled.select(*keys, order, *(F.col("__row").getField(c).alias(c) for c in mine), *cast)
+
+
+def _typed(value: Column, kind: str) -> Column:
+    return F.from_json(value, kind) if kind.startswith(("array", "map", "struct")) else value.cast(kind)
 
 
 def generations(lifecycle: DataFrame, keys: list[str], order: str) -> DataFrame:
