@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from .shared import LOWER, WordHashes, mix, slices, stash, texts, without
 
 _U = np.uint64
+#: Buckets of more members are hot: a set leaves them while its other parts suffice (see ``cold_buckets``).
+HOT_MEMBERS = 32
 #: Rows of one block of a bucket; larger buckets are compared block by block.
 BLOCK_ROWS = 256
 #: Rows of compared blocks that go to one task's call together.
@@ -58,7 +60,7 @@ class Bands:
     def bits(self, k: int) -> int:
         """Of the whole sketch by which candidates are compared."""
         self.limit(k)
-        return -(-2 * self.edges[k + 1] // 64) * 64
+        return -(-self.edges[k + 1] // 64) * 64
 
 
 def _shingle_sets(batch: list[bytes], n: int, memo: WordHashes) -> list[np.ndarray]:
@@ -104,25 +106,26 @@ def shingle_classes(docs: DataFrame, n: int, *, id_col: str = "doc_id", text_col
     return given.mapInArrow(run, f"doc_id {kind}, n_shingles long, h1 long, h2 long")
 
 
-def _part_keys(s: np.ndarray, k: int, bands: Bands) -> np.ndarray:
-    """The keys of a set's parts under scheme ``k``: the XOR of the shingle hashes in each part.
+def _part_keys(s: np.ndarray, k: int, bands: Bands) -> tuple[np.ndarray, int]:
+    """The keys of a set's parts under scheme ``k``, each the XOR of the shingle hashes in its part, and the slack.
 
-    Empty parts give no key: two linked sets share ``1 + spare`` parts, so they share one that
-    is not empty unless both have more empty parts than ``spare``; only such sets give keys for
-    their empty parts too.
+    Two linked sets share ``1 + spare`` parts at least, empty ones included.  The slack is how
+    many of its other parts a set may do without: ``spare`` less its empty parts, which give no
+    key.  If the slack is negative, the empty parts give keys too.
     """
     if not bands.limit(k):
-        return np.zeros(0, np.int64)  # only equal sets could link
+        return np.zeros(0, np.int64), 0  # only equal sets could link
     p = bands.parts(k)
     part = ((s >> _U(32)) * _U(p) >> _U(32)).astype(np.int64)  # rises with s
     first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
     key, part = np.bitwise_xor.reduceat(mix(s), first), part[first]
-    if p - len(part) > bands.spare(k):
+    slack = bands.spare(k) - (p - len(part))
+    if slack < 0:
         full = np.zeros(p, _U)
         full[part] = key
         key, part = full, np.arange(p)
     with np.errstate(over="ignore"):
-        return mix(key + mix(part.astype(_U) + _U(k << 32))).view(np.int64)
+        return mix(key + mix(part.astype(_U) + _U(k << 32))).view(np.int64), slack
 
 
 def _parity(s: np.ndarray, bits: int) -> bytes:
@@ -132,7 +135,9 @@ def _parity(s: np.ndarray, bits: int) -> bytes:
 
 
 def part_keys(docs: DataFrame, n: int, num: int, den: int, *, text_col: str = "text") -> DataFrame:
-    """``key, h``: the part keys of each distinct shingle set, ``h`` being the set's ``h1``.
+    """``key, h, up, slack``: the part keys of each distinct shingle set, ``h`` being the set's ``h1``.
+
+    ``up`` is 0 for the scheme of the set's own band and 1 for the next.
 
     A task gives the keys of equal sets once, so a text copied a million times costs a row a
     task and part.
@@ -141,7 +146,7 @@ def part_keys(docs: DataFrame, n: int, num: int, den: int, *, text_col: str = "t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, bands, seen = WordHashes(), Bands(num, den), set()
         for b in slices(batches, "text", 4 << 20):
-            keys, owners, counts = [], [], []
+            keys, owners, ups, slacks = [], [], [], []
             for s in _shingle_sets(texts(b.column("text")), n, memo):
                 if not len(s):
                     continue
@@ -152,37 +157,77 @@ def part_keys(docs: DataFrame, n: int, num: int, den: int, *, text_col: str = "t
                     seen.clear()
                 seen.add(h)
                 k = bands.band(len(s))
-                mine = np.concatenate([_part_keys(s, k, bands), _part_keys(s, k + 1, bands)])
-                keys.append(mine)
-                owners.append(h[0])
-                counts.append(len(mine))
+                for up in (0, 1):
+                    mine, slack = _part_keys(s, k + up, bands)
+                    keys.append(mine)
+                    owners.append(h[0])
+                    ups.append(up)
+                    slacks.append(max(slack, -1))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.repeat(np.array(owners, np.int64), counts))], names=["key", "h"])
+                counts = list(map(len, keys))
+                each = [pa.array(np.repeat(np.array(x, t), counts)) for x, t in ((owners, np.int64), (ups, np.int8), (slacks, np.int16))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), *each], names=["key", "h", "up", "slack"])
+
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "key long, h long, up byte, slack short")
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "key long, h long")
 
+def cold_buckets(keys: DataFrame) -> DataFrame:
+    """``key, h, up, size``: buckets of two or more sets, without what is hot and can be spared.
 
-def shingle_sets(docs: DataFrame, n: int, num: int, den: int, *, text_col: str = "text") -> DataFrame:
-    """``h, n, shingles, band, sketch, sketch_up``: sets of the given documents, sketched for their band and the next."""
+    A bucket of more than ``HOT_MEMBERS`` sets is hot.  Equal parts are hot or empty in both
+    sets of a pair, and a linked pair shares more parts than either's spare ones; so a set
+    whose hot parts are no more than its slack shares a cold part with every partner, and
+    leaves its hot buckets.  A passage in a third of all documents costs a few hot parts each;
+    only sets that are hot through and through stay there, and are compared block by block.
+    """
+    of_key = Window.partitionBy("key")
+    met = keys.select("*", F.min("h").over(of_key).alias("lo"), F.max("h").over(of_key).alias("hi")).where("lo <> hi")
+    rows = stash(met.select("key", "h", "up", "slack").distinct(), "buckets")
+    sizes = rows.groupBy("key").agg(F.count("*").alias("size"))
+    sized = stash(rows.join(sizes, "key"), "buckets")
+    hot = F.col("size") > HOT_MEMBERS
+    spared = sized.groupBy("h", "up").agg(F.count_if(hot).alias("n"), F.max("slack").alias("may")).where("n > 0 and n <= may").select("h", "up", F.lit(True).alias("spared"))
+    left = sized.join(spared, ["h", "up"], "left").where(~hot | F.col("spared").isNull()).select("key", "h", "up")
+    return stash(left.join(left.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key"), "buckets")
+
+
+def _distinct_sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[list[tuple[int, np.ndarray]]]:
+    """``h1`` and shingles of the texts' sets, each set once a task."""
+    memo, seen = WordHashes(), set()
+    for b in slices(batches, "text", 4 << 20):
+        new = []
+        for s in _shingle_sets(texts(b.column("text")), n, memo):
+            h = _set_hash(s)[0]
+            if len(s) and h not in seen:
+                if len(seen) >= 1_000_000:
+                    seen.clear()
+                seen.add(h)
+                new.append((h, s))
+        yield new
+
+
+def shingle_sets(docs: DataFrame, n: int) -> DataFrame:
+    """``h, shingles`` of the sets of the given texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, bands, seen = WordHashes(), Bands(num, den), set()
-        for b in slices(batches, "text", 4 << 20):
-            sets = []
-            for s in _shingle_sets(texts(b.column("text")), n, memo):
-                h = _set_hash(s)[0]
-                if len(s) and h not in seen:
-                    if len(seen) >= 1_000_000:
-                        seen.clear()
-                    seen.add(h)
-                    sets.append(s)
-            ks = [bands.band(len(s)) for s in sets]
-            cols = [[_set_hash(s)[0] for s in sets], [len(s) for s in sets], [s.view(np.int64) for s in sets], ks]
-            cols += [[_parity(s, bands.bits(k + up)) for s, k in zip(sets, ks, strict=True)] for up in (0, 1)]
-            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["h", "n", "shingles", "band", "sketch", "sketch_up"])
+        for new in _distinct_sets(batches, n):
+            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in new], pa.int64()), pa.array([s.view(np.int64) for _, s in new], pa.list_(pa.int64()))], names=["h", "shingles"])
+
+    return docs.select("text").mapInArrow(run, "h long, shingles array<long>")
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "h long, n long, shingles array<long>, band int, sketch binary, sketch_up binary")
+
+def sketches(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """``h, n, band, sketch, sketch_up``: parity sketches of the texts' sets for their band's scheme and the next."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands = Bands(num, den)
+        for new in _distinct_sets(batches, n):
+            ks = [bands.band(len(s)) for _, s in new]
+            cols = [[h for h, _ in new], [len(s) for _, s in new], ks, *([_parity(s, bands.bits(k + up)) for (_, s), k in zip(new, ks, strict=True)] for up in (0, 1))]
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["h", "n", "band", "sketch", "sketch_up"])
+
+    return docs.select("text").mapInArrow(run, "h long, n long, band int, sketch binary, sketch_up binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -216,6 +261,32 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return both.where(den * inter >= num * (F.size("sa") + F.size("sb") - inter)).select("a", "b")
 
 
+def _most_apart(total: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Of the symmetric difference of linked sets with so many shingles together: den * inter >= num * union."""
+    return total * (den - num) // (den + num)
+
+
+def _near(pairs: DataFrame, drawn: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (``a, b``) that sizes and sketches allow to link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            na, nb, ka, kb = (b.column(c).to_numpy() for c in ("na", "nb", "ka", "kb"))
+            most, top = _most_apart(na + nb, num, den), np.maximum(ka, kb)
+            good = np.zeros(b.num_rows, bool)
+            drawn = [b.column(c).to_pylist() for c in ("sa", "ua", "sb", "ub")]
+            fits = (np.abs(ka - kb) < 2) & (np.abs(na - nb) <= most)
+            for k in np.unique(top[fits]):
+                at = np.flatnonzero(fits & (top == k))
+                x = np.frombuffer(b"".join(drawn[int(ka[i] != k)][i] for i in at), _U).reshape(len(at), -1)
+                y = np.frombuffer(b"".join(drawn[2 + int(kb[i] != k)][i] for i in at), _U).reshape(len(at), -1)
+                good[at] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= most[at]
+            yield b.select(["a", "b"]).filter(pa.array(good))
+
+    side = lambda v: drawn.select(F.col("h").alias(v), F.col("n").alias(f"n{v}"), F.col("band").alias(f"k{v}"), F.col("sketch").alias(f"s{v}"), F.col("sketch_up").alias(f"u{v}"))
+    return pairs.join(side("b"), "b").join(side("a"), "a").mapInArrow(run, "a long, b long")
+
+
 def _pairs_within(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All index pairs ``x < y`` inside consecutive runs of the given sizes."""
     end = np.repeat(np.cumsum(size), size)
@@ -226,50 +297,49 @@ def _pairs_within(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _compare(t: pa.Table, num: int, den: int, room: int = 4_000_000) -> pa.Table:
     """The pairs inside equal ``key, i, j`` that sketches and sizes allow to link, roots being different."""
-    bands = Bands(num, den)
     t = t.sort_by([("key", "ascending"), ("i", "ascending"), ("j", "ascending")])
-    key, i, j, h, n, root, band, mine = (t.column(c).to_numpy() for c in ("key", "i", "j", "h", "n", "root", "band", "mine"))
+    key, i, j, h, n, root, mine, up = (t.column(c).to_numpy() for c in ("key", "i", "j", "h", "n", "root", "mine", "up"))
     new = np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
     x, y = _pairs_within(np.diff(np.flatnonzero(new), append=len(key)))
-    total = n[x] + n[y]
-    most = total * (den - num) // (den + num)  # of the symmetric difference, from den * inter >= num * union
-    keep = (root[x] != root[y]) & (np.abs(band[x] - band[y]) < 2) & (np.abs(n[x] - n[y]) <= most) & ((i == j)[x] | (mine[x] != mine[y]))
+    most = _most_apart(n[x] + n[y], num, den)
+    # Two smaller sets of a bucket meet in their own band's scheme.
+    keep = (root[x] != root[y]) & (up[x] + up[y] < 2) & (np.abs(n[x] - n[y]) <= most) & ((i == j)[x] | (mine[x] != mine[y]))
     x, y, most = x[keep], y[keep], most[keep]
-    top = np.maximum(band[x], band[y])
-    sketches = [t.column(c).to_pylist() for c in ("sketch", "sketch_up")]
-    out = []
-    for k in np.unique(top):
-        mine = np.flatnonzero(top == k)
-        rows, at = np.unique(np.concatenate([x[mine], y[mine]]), return_inverse=True)
-        table = np.stack([np.frombuffer(sketches[int(band[r] != k)][r], _U) for r in rows])
-        step = max(1, room // table.shape[1])
-        for lo in range(0, len(mine), step):
-            some = mine[lo : lo + step]
-            apart = np.bitwise_count(table[at[: len(mine)][lo : lo + step]] ^ table[at[len(mine) :][lo : lo + step]]).sum(axis=1, dtype=np.int64)
+    sketch = t.column("sketch").to_pylist()
+    words = np.array([len(s) // 8 for s in sketch])[x] if len(x) else np.zeros(0, np.int64)
+    out = [np.zeros(0, np.int64)]
+    for width in np.unique(words):
+        of_width = np.flatnonzero(words == width)
+        rows, at = np.unique(np.concatenate([x[of_width], y[of_width]]), return_inverse=True)
+        table = np.frombuffer(b"".join(sketch[r] for r in rows), _U).reshape(len(rows), width)
+        step = max(1, room // int(width))
+        for lo in range(0, len(of_width), step):
+            some = of_width[lo : lo + step]
+            apart = np.bitwise_count(table[at[: len(of_width)][lo : lo + step]] ^ table[at[len(of_width) :][lo : lo + step]]).sum(axis=1, dtype=np.int64)
             out.append(some[apart <= most[some]])
-    good = np.concatenate(out) if out else np.zeros(0, np.int64)
+    good = np.concatenate(out)
     pairs = np.unique(np.stack([np.maximum(h[x[good]], h[y[good]]), np.minimum(h[x[good]], h[y[good]])], 1), axis=0)
     return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
 
 
-def _cross_pairs(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of one bucket (``key, size, h, root``) in different components whose sketches allow a link.
+def _cross_pairs(members: DataFrame, drawn: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of one bucket (``key, h, up, size, root``) in different components whose sketches allow a link.
 
     Buckets are cut into blocks of about ``BLOCK_ROWS`` members and blocks are compared two by
     two, so that a large bucket spreads over calls; only pairs that pass leave a call.
     """
     cuts = F.ceil(F.col("size") / BLOCK_ROWS).cast("int")
     cut = members.withColumn("mine", F.pmod(F.xxhash64("h"), cuts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), cuts - 1)))
-    cut = stash(cut.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "h", "root"), "blocks")
+    cut = stash(cut.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "h", "up", "root"), "blocks")
     calls = max(1, -(-cut.count() // CALL_ROWS))
-    with_sketches = cut.join(sets.select("h", "n", "band", "sketch", "sketch_up"), "h").withColumn("call", F.pmod(F.xxhash64("key", "i", "j"), F.lit(calls)))
-    found = with_sketches.groupBy("call").applyInArrow(lambda t: _compare(t, num, den), "a long, b long")
-    return found.distinct()
+    own = F.when(F.col("up") == 0, F.col("sketch")).otherwise(F.col("sketch_up")).alias("sketch")
+    with_sketches = cut.join(drawn, "h").select("key", "i", "j", "mine", "h", "up", "root", "n", own, F.pmod(F.xxhash64("key", "i", "j"), F.lit(calls)).alias("call"))
+    return with_sketches.groupBy("call").applyInArrow(lambda t: _compare(t, num, den), "a long, b long").distinct()
 
 
-def _texts_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The texts (``text``) of the rows whose id stands in ``ids`` (``rep``), few ids being sent to the executors."""
-    ids = stash(ids.distinct(), "picked")
+def _texts_of(docs: DataFrame, sets: DataFrame, reps: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """A text (``text``) for each set in ``sets`` (``h``), that of its smallest id; few ids are sent to the executors."""
+    ids = stash(sets.distinct().join(reps, "h").select("rep").distinct(), "picked")
     few = F.broadcast(ids) if ids.count() <= MOST_IDS else ids
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(few, F.col("id") == F.col("rep"), "left_semi")
 
@@ -283,9 +353,10 @@ def jaccard_groups(docs: DataFrame, *, words: int = 5, num: int = 4, den: int =
     smallest id.  No link between different sets is lost:
 
     1. Equal sets are one class from the start, so copies cost nothing further.
-    2. Sets are joined on their part keys (``Bands``): linked sets share one.
-    3. In each bucket of equal keys all members are verified against the smallest; verified
-       pairs give components.
+    2. Sets are joined on their part keys (``Bands``): linked sets share one, and one that is
+       not hot unless both have many hot parts (``cold_buckets``).
+    3. In each bucket all members are paired with the likeliest centre; pairs that the parity
+       sketches allow are verified, and give components.
     4. Pairs of a bucket that are still in different components are compared by their sketches,
        and verified where these allow a link; then components are final.
 
@@ -297,23 +368,23 @@ def jaccard_groups(docs: DataFrame, *, words: int = 5, num: int = 4, den: int =
     classes = stash(shingle_classes(docs, words, id_col=id_col, text_col=text_col), "classes")
     reps = classes.where("n_shingles > 0").groupBy(F.col("h1").alias("h")).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
 
-    of_key = Window.partitionBy("key")
-    keyed = part_keys(docs, words, num, den, text_col=text_col).select("key", "h", F.min("h").over(of_key).alias("lo"), F.max("h").over(of_key).alias("hi"))
-    buckets = stash(keyed.where("lo <> hi").select("key", "h").distinct(), "buckets")
-    sizes = buckets.groupBy("key").agg(F.count("*").alias("size"))
-    sized = stash(buckets.join(sizes, "key"), "buckets")
-    sets = stash(shingle_sets(_texts_of(docs, sized.select("h").distinct().join(reps, "h").select("rep"), id_col, text_col), words, num, den), "sets")
+    buckets = cold_buckets(part_keys(docs, words, num, den, text_col=text_col))
+    drawn = stash(sketches(_texts_of(docs, buckets.select("h"), reps, id_col, text_col), words, num, den), "sketches")
 
     # The member whose buckets are fullest is the likeliest centre of a bucket.
-    weight = sized.groupBy("h").agg(F.sum("size").alias("weight"))
-    centre = sized.join(weight, "h").groupBy("key").agg(F.max(F.struct("weight", "h")).alias("top")).select("key", F.col("top.h").alias("a"))
-    stars = sized.join(centre, "key").where("a <> h").select("a", F.col("h").alias("b")).distinct()
-    links = stash(_verified(stars, sets, num, den), "links")
-    roots = components(links)
+    weight = buckets.groupBy("h").agg(F.sum("size").alias("weight"))
+    centre = buckets.join(weight, "h").groupBy("key").agg(F.max(F.struct("weight", "h")).alias("top")).select("key", F.col("top.h").alias("a"))
+    stars = buckets.join(centre, "key").where("a <> h").select("a", F.col("h").alias("b")).distinct()
+
+    def links(pairs: DataFrame) -> DataFrame:
+        pairs = stash(pairs, "pairs")
+        ends = pairs.select(F.col("a").alias("h")).union(pairs.select("b"))
+        return stash(_verified(pairs, stash(shingle_sets(_texts_of(docs, ends, reps, id_col, text_col), words), "sets"), num, den), "links")
 
-    placed = sized.join(roots, "h", "left").withColumn("root", F.coalesce("root", "h"))
+    roots = components(links(_near(stars, drawn, num, den)))
+    placed = buckets.join(roots, "h", "left").withColumn("root", F.coalesce("root", "h"))
     open_keys = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    more = stash(_verified(_cross_pairs(placed.join(open_keys, "key"), sets, num, den), sets, num, den), "links")
+    more = links(_cross_pairs(placed.join(open_keys, "key"), drawn, num, den))
     roots = components(roots.select(F.col("h").alias("a"), F.col("root").alias("b")).union(more))
 
     named = roots.join(reps, "h")
