@@ -72,9 +72,10 @@ class Replay:
     def from_files(cls, spark: SparkSession, path, known_events: DataFrame | None = None) -> Replay:
         """The relations a file reader gives without decoding entities."""
         from ..sources import replay_files as rf
+        from ..sources.stringtables import userinfo
 
         m = rf.read_messages(spark, path)
-        made = {"events": rf.events(m, known_events), "header": rf.header(m), "voice": rf.voice(m), "item_drops": rf.item_drops(m), "skins": rf.skins(m), "player_info": rf.player_info(m)}
+        made = {"events": rf.events(m, known_events), "header": rf.header(m), "voice": rf.voice(m), "item_drops": rf.item_drops(m), "skins": rf.skins(m), "player_info": rf.player_info(m), "userinfo": userinfo(m)}
         return cls(made)
 
     def _table(self, name: str) -> DataFrame:
