@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from tickframe.functions import derived, labels
 from tickframe.functions.catalog import Catalog, generalised
-from tickframe.operators import events, filters, handles, ranges
+from tickframe.operators import events, filters, handles, ranges, registry
 
 
 def test_prop_states_is_a_prefix_not_a_where(spark):
@@ -101,3 +101,14 @@ def test_kinds_types_and_classes():
     assert (c.resolve("mine"), c.kind("CCSTeam.m_iX"), c.spark_type("CCSTeam.m_iX")) == ("CCSTeam.m_iX", "team", "int")
     assert [c.spark_type(f"C.{p}") for p in ("m_bScoped", "m_flTime", "m_szName", "m_hOwner", "m_unId", "m_steamID")] == ["boolean", "float", "string", "bigint", "bigint", "bigint"]
     assert (generalised("CAK47.m_iClip1"), generalised("CCSPlayerPawn.m_iHealth")) == ("m_iClip1", "CCSPlayerPawn.m_iHealth")
+
+
+def test_registry_follows_controllers(spark):
+    told = [
+        (9, 1, "m_steamID", "76561198000000001"), (9, 1, "m_iszPlayerName", "A"), (9, 1, "m_iTeamNum", "1"), (9, 1, "m_hPlayerPawn", str(0x8000 | 33)),
+        (9, 4, "m_iTeamNum", "2"), (9, 6, "m_iTeamNum", "2"), (9, 8, "m_hPlayerPawn", str(0x10000 | 40)), (9, 9, "m_hPlayerPawn", str(0x7FF)), (9, 10, "m_hPlayerPawn", "40"),
+        (11, 2, "m_steamID", "0"), (11, 2, "m_iTeamNum", "3"), (11, 2, "m_hPlayerPawn", "50"), (12, 2, "m_steamID", "5"),
+    ]
+    df = spark.createDataFrame([("d", e, s, f"CCSPlayerController.{p}", v) for e, s, p, v in told], "demo_id string, entity_id int, seq long, prop string, value string")
+    got = registry.player_registry(df).orderBy("from_seq").collect()
+    assert [(r.pawn_id, r.controller_id, r.name, r.team_num, r.from_seq, r.to_seq) for r in got] == [(33, 9, "A", 2, 4, 8), (40, 9, "A", 2, 8, None)]

@@ -21,7 +21,7 @@ def replay(spark):
         (1, 2, WEAPON, str(0x10000 | 50)), (50, 2, "CAK47.m_iClip1", "30"), (50, 15, "CAK47.m_iClip1", "29"), (50, 2, "CAK47.m_iItemDefinitionIndex", "7"),
         (11, 2, CTRL + "m_iScore", "5"), (80, 2, "CCSTeam.m_iTeamNum", "2"), (81, 2, "CCSTeam.m_iTeamNum", "3"), (80, 2, "CCSTeam.m_iScore", "8"), (81, 18, "CCSTeam.m_iScore", "9"),
         (90, 2, "CCSGameRulesProxy.CCSGameRules.m_totalRoundsPlayed", "0"), (90, 16, "CCSGameRulesProxy.CCSGameRules.m_totalRoundsPlayed", "1"),
-        (60, 12, "CSmokeGrenadeProjectile.m_hOwnerEntity", str(0x8000 | 1)), (60, 12, "CSmokeGrenadeProjectile.CBodyComponent.m_cellX", "33"), (60, 12, "CSmokeGrenadeProjectile.CBodyComponent.m_vecX", "1.5"),
+        (60, 12, "CSmokeGrenadeProjectile.m_hOwnerEntity", str(0x8000 | 1)), (60, 12, "CSmokeGrenadeProjectile.CBodyComponentBaseAnimGraph.m_cellX", "33"), (60, 12, "CSmokeGrenadeProjectile.CBodyComponentBaseAnimGraph.m_vecX", "1.5"),
     ]
     t = {
         "updates": spark.createDataFrame([("d", *u) for u in updates], "demo_id string, entity_id int, seq long, prop string, value string"),

@@ -36,7 +36,7 @@ _WEAPON, _COLOR = "CCSPlayerPawn.CCSPlayer_WeaponServices.m_hActiveWeapon", "CCS
 _ITEM, _TEAM_NUM = "m_iItemDefinitionIndex", "CCSTeam.m_iTeamNum"
 _TYPES = {_BUTTONS: "bigint", _ANGLES: "array<float>", _LIFE: "int", _GROUND: "bigint", _WEAPON: "bigint", _COLOR: "int", _ITEM: "int"}
 _TYPES |= {_CELL.format(a): "int" for a in "XYZ"} | {_OFFSET.format(a): "float" for a in "XYZ"}
-_TYPES |= {f"CBodyComponent.m_cell{a}": "int" for a in "XYZ"} | {f"CBodyComponent.m_vec{a}": "float" for a in "XYZ"}
+_TYPES |= {f"CBodyComponentBaseAnimGraph.m_cell{a}": "int" for a in "XYZ"} | {f"CBodyComponentBaseAnimGraph.m_vec{a}": "float" for a in "XYZ"}
 #: What each computed property is made of.
 _NEEDS = {a: [_CELL.format(a), _OFFSET.format(a)] for a in "XYZ"} | {b: [_BUTTONS] for b in labels.BUTTONS}
 _NEEDS |= {"pitch": [_ANGLES], "yaw": [_ANGLES], "is_alive": [_LIFE], "is_airborne": [_GROUND], "player_color": [_COLOR], "weapon_name": [_ITEM], "game_time": [], "entity_id": []}
@@ -69,13 +69,19 @@ class Replay:
     catalog: Catalog = field(default_factory=Catalog)
 
     @classmethod
-    def from_files(cls, spark: SparkSession, path, known_events: DataFrame | None = None) -> Replay:
-        """The relations a file reader gives without decoding entities."""
+    def from_files(cls, spark: SparkSession, path, known_events: DataFrame | None = None, entities: bool = False) -> Replay:
+        """The relations the file reader gives; those of entities, if asked for, are made again by each query unless cached or written."""
+        from ..operators.registry import player_registry
+        from ..sources import entities as en
         from ..sources import replay_files as rf
         from ..sources.stringtables import userinfo
 
         m = rf.read_messages(spark, path)
         made = {"events": rf.events(m, known_events), "header": rf.header(m), "voice": rf.voice(m), "item_drops": rf.item_drops(m), "skins": rf.skins(m), "player_info": rf.player_info(m), "userinfo": userinfo(m)}
+        if entities:
+            changes = en.entity_changes(m)
+            made |= {"updates": en.updates(changes), "lifecycle": en.lifecycle(changes), "ticks": en.tick_spine(m)}
+            made["players"] = player_registry(made["updates"])
         return cls(made)
 
     def _table(self, name: str) -> DataFrame:
@@ -250,7 +256,7 @@ class Replay:
         spans = spans.join(born, ["demo_id", "entity_id", "from"]).withColumnRenamed("demo_id", "__d")
         there = (F.col("demo_id") == F.col("__d")) & (F.col("seq") >= F.col("from")) & (F.col("to").isNull() | (F.col("seq") < F.col("to")))
         rows = filters.grenade_rows(self._table("ticks").join(spans, there).drop("__d", "from", "to", "generation"), grenades)
-        place = {a.lower(): (f"CBodyComponent.m_cell{a}", f"CBodyComponent.m_vec{a}") for a in "XYZ"}
+        place = {a.lower(): (f"CBodyComponentBaseAnimGraph.m_cell{a}", f"CBodyComponentBaseAnimGraph.m_vec{a}") for a in "XYZ"}
         real = {w: self.catalog.resolve(w) for w in extra}
         rows = self._lookup(rows, "entity_id", ["m_hOwnerEntity", *(p for pair in place.values() for p in pair), *real.values()])
         who = self._table("players").select(F.col("demo_id").alias("__d"), "pawn_id", "name", "steamid", "from_seq", "to_seq")
