@@ -5,6 +5,9 @@ Everything here is built of SQL functions; no Python runs on the executors.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,10 +16,11 @@ from .spans import matches, once
 #: Phrases that always give their label.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
-#: Single words or their beginnings, of which a text must hold one, in any case, for a rule or a base phrase to match.
-KEYWORDS = (
-    "licen", "copyright", "copyleft", "spdx", "mit", "apache", "gpl", "gnu", "bsd", "mozilla", "mpl", "eclipse", "creative", "cc", "public",
-    "warranty", "redistribution", "reserved", "permission", "endorse", "advertising", "wtfpl", "boost", "zlib", "artistic", "eupl", "cecill", "openssl", "unicode",
+#: What the prefilter asks for: a text must hold all parts of one entry, in any case.  Parts are
+#: single words or pieces of them, so that it does not matter what stands between two words.
+GATES: tuple[tuple[str, ...], ...] = (
+    ("licen",), ("copyright",), ("spdx",), ("apache",), ("gpl",), ("gnu",), ("mozilla",), ("eclipse",), ("creative",), ("cc", "by"), ("public", "domain"), ("warranty",),
+    ("redistribution",), ("rights", "reserved"), ("permission",), ("endorse",), ("advertising",), ("wtfpl",), ("boost",), ("artistic",), ("openssl",), ("unicode",),
 )
 
 #: Licences: SPDX-like label, then the ways their names are written as lower-case words (regexes).
@@ -133,15 +137,15 @@ SIGNATURES: tuple[tuple[str, int, str, str], ...] = (
     ("cc-by-nc-sa", 86, "creative", "creativecommons org licenses by nc sa [1234] 0"),
     ("cc-by-nc-nd", 86, "creative", "creativecommons org licenses by nc nd [1234] 0"),
     ("cc0", 86, "creative", "creativecommons org publicdomain zero 1 0"),
-    ("cc-by-sa", 65, "cc", "cc by sa"),
-    ("cc-by-nd", 65, "cc", "cc by nd"),
-    ("cc-by-nc-sa", 66, "cc", "cc by nc sa"),
-    ("cc-by-nc-nd", 66, "cc", "cc by nc nd"),
-    ("cc-by-nc", 65, "cc", "cc by nc"),
+    ("cc-by-sa", 65, "cc by", "cc by sa"),
+    ("cc-by-nd", 65, "cc by", "cc by nd"),
+    ("cc-by-nc-sa", 66, "cc by", "cc by nc sa"),
+    ("cc-by-nc-nd", 66, "cc by", "cc by nc nd"),
+    ("cc-by-nc", 65, "cc by", "cc by nc"),
     ("proprietary", 40, "rights reserved", "all rights reserved"),
     ("proprietary", 60, "licen", "(?:this|the) software is (?:licensed not sold|proprietary)"),
     ("proprietary", 65, "copyright", "unauthori[sz]ed (?:copying|use|reproduction|distribution) of this .{0,60}is (?:strictly )?prohibited"),
-    ("mit", 80, "mit", "under the mit license"),
+    ("mit", 80, "licen", "under the mit license"),
     ("apache-2", 82, "apache", "apache license version 2(?: 0)?"),
     ("as-is", 30, "warranty", "without warranty of any kind"),
 )
@@ -167,7 +171,7 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
     Words are runs of ``[0-9a-z]`` and non-ASCII characters, A-Z in lower case, numbered from 0.
     Base phrases give ``n_base`` (all places), their smallest and largest start and their labels.
-    The ordered rules run over texts that hold one of ``KEYWORDS``, each rule only if its own
+    The ordered rules run over texts that one of ``GATES`` lets through, each rule only if its own
     keyword is there.  A detection inside another of higher priority, or of equal priority and
     more words, is suppressed (of equal ones the first rule stays); the rest are ``detections``,
     structs of start, end, priority and label, and ``labels`` are theirs and the base ones.
@@ -180,8 +184,8 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     text = F.coalesce(F.col(text_col), F.lit(""))
     small = F.lower(text)
     gate = F.lit(False)
-    for k in KEYWORDS:
-        gate = gate | F.contains(small, F.lit(k))
+    for parts in GATES:
+        gate = gate | reduce(and_, (F.contains(small, F.lit(p)) for p in parts))
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     norm = F.concat(F.lit(" "), F.btrim(F.regexp_replace(F.translate(text, upper, lower), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "), F.lit(" ")), F.lit(" "))
     rows = docs.select(
