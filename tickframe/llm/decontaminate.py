@@ -258,6 +258,6 @@ def _by_document(window: int):
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without those that hold a benchmark window."""
+    """``docs`` without those that hold a benchmark window, by id: rows without an id stay, and rows that share one go together."""
     found = contamination(docs, benchmark, window=window, id_col=id_col, text_col=text_col)
     return without(docs, found.where("n_hit > 0").select("doc_id"), id_col)

@@ -362,8 +362,8 @@ def jaccard_groups(docs: DataFrame, *, words: int = 5, num: int = 4, den: int =
 
     Set hashes stand for sets (h1 of 128 bits for candidates).  Null and empty texts have no
     shingles, are linked with nothing and are components by themselves - as is each of several
-    equal rows of that kind under their id.  Repeated rows are equal sets.  Other columns are
-    not read.
+    equal rows of that kind under their id.  Repeated rows are equal sets.  A row without an id
+    is named by its group's smallest id, if any row there has one.  Other columns are not read.
     """
     classes = stash(shingle_classes(docs, words, id_col=id_col, text_col=text_col), "classes")
     reps = classes.where("n_shingles > 0").groupBy(F.col("h1").alias("h")).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
@@ -397,6 +397,9 @@ def jaccard_groups(docs: DataFrame, *, words: int = 5, num: int = 4, den: int =
 
 
 def drop_near_duplicates(docs: DataFrame, *, words: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each group, the one with the smallest id."""
+    """``docs`` with one document of each group, the one with the smallest id.
+
+    Rows are dropped by id: rows without one stay, and repeated rows of the document that stays do too.
+    """
     groups = jaccard_groups(docs, words=words, num=num, den=den, id_col=id_col, text_col=text_col)
     return without(docs, groups.where("doc_id <> component_id").select("doc_id"), id_col)
