@@ -73,6 +73,14 @@ def test_repeated_rows_are_one_class_and_one_stays(spark):
     assert sorted(r.doc_id for r in left.collect()) == [2, 4, 4]
 
 
+def test_rows_without_an_id(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    rows = [(k, t, "en", "s", 0, 0, "", 0, "") for k, t in [(4, text), (None, text), (None, text + " end"), (None, None)]]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert sorted(map(str, (r.component_id for r in jaccard.jaccard_groups(df).collect()))) == ["4", "4", "None", "None"]
+    assert jaccard.drop_near_duplicates(df).count() == 4
+
+
 def test_bands_hold_every_linking_size():
     for num, den in ((9, 10), (4, 5), (1, 2)):
         bands = jaccard.Bands(num, den)

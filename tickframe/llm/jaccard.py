@@ -363,7 +363,8 @@ def jaccard_groups(docs: DataFrame, *, words: int = 5, num: int = 4, den: int =
     Set hashes stand for sets (h1 of 128 bits for candidates).  Null and empty texts have no
     shingles, are linked with nothing and are components by themselves - as is each of several
     equal rows of that kind under their id.  Repeated rows are equal sets.  A row without an id
-    is named by its group's smallest id, if any row there has one.  Other columns are not read.
+    is named by its group's smallest id; a set none of whose rows has an id is linked with
+    nothing and named null.  Other columns are not read.
     """
     classes = stash(shingle_classes(docs, words, id_col=id_col, text_col=text_col), "classes")
     reps = classes.where("n_shingles > 0").groupBy(F.col("h1").alias("h")).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
