@@ -17,7 +17,7 @@ from .shared import slices, stash
 #: Ids that go to the executors at once to pick rows (16 bytes each); more are joined by shuffling.
 MOST_IDS = 4_000_000
 #: Words whose counts a worker remembers.
-MOST_WORDS = 3_000_000
+MOST_WORDS = 1_200_000
 CACHE_SCHEMA = "d1 long, d2 long, tokenizer string, n_tokens long"
 
 
@@ -123,7 +123,7 @@ def count_tokens(docs: DataFrame, *, tokenizer_path: str, cache_path: str, id_co
 
         def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counter = _counter(tokenizer_path)
-            for b in slices(batches, "text", 4 << 20):
+            for b in slices(batches, "text", 2 << 20):
                 n = counter.counts(b.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([b.column("d1"), b.column("d2"), pa.array([version] * len(n)), pa.array(n, pa.int64())], names=["d1", "d2", "tokenizer", "n_tokens"])
 
