@@ -63,3 +63,50 @@ def test_proximity_takes_any_order(spark):
     docs = spark.createDataFrame([(1, "zz x1 b c a q"), (2, "a b c"), (3, "a " + "x " * 40 + "b c"), (4, "a b")], "doc_id long, text string")
     got = decontaminate.contamination(docs, spark.createDataFrame([(1, "a b c")], "item_id long, text string"), proximity=5)
     assert {r.doc_id: (r.n_hit, r.n_near) for r in got.collect()} == {1: (0, 1), 2: (3, 0), 3: (0, 0), 4: (0, 0)}
+
+
+def near_by_hand(text, items, within, window=10):
+    w, near, exact = words(text), set(), set()
+    for name, told in items:
+        q = words(told)
+        terms, span, n = set(q), len(q) + within, min(window, len(q))
+        if q and any(100 * len(terms & set(w[k : k + span])) >= 80 * len(terms) for k in range(len(w))):
+            near.add(name)
+        if q and any(w[i : i + n] == q[k : k + n] for k in range(len(q) - n + 1) for i in range(len(w) - n + 1)):
+            exact.add(name)
+    return len(near - exact)
+
+
+@pytest.mark.parametrize(("shard_words", "block_bytes"), [(1_500_000, 2 << 20), (120, 200)])
+@pytest.mark.parametrize("within", [0, 4, 25])
+def test_proximity_equals_brute_force(spark, monkeypatch, shard_words, block_bytes, within):
+    monkeypatch.setattr(decontaminate, "SHARD_WORDS", shard_words)
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block_bytes)
+    rng = random.Random(6)
+    items = [(k, sentence(rng, rng.randint(1, 30))) for k in range(25)] + [(90, None), (91, ""), (94, "aa aa bb cc aa"), (3, sentence(rng, 12))]
+    rows = [(1, None), (2, ""), (3, "cc bb"), (4, "aa bb cc aa aa")]
+    for k in range(60):
+        told = words(rng.choice(items)[1])
+        rng.shuffle(told)
+        for _ in range(rng.randint(0, 1 + len(told) // 3)):  # words changed or put in
+            if told and rng.random() < 0.5:
+                told[rng.randrange(len(told))] = "changed"
+            else:
+                told.insert(rng.randint(0, len(told)), f"more{rng.randint(0, 3)}")
+        half = rng.randint(0, len(told))
+        rows.append((10 + k, " ".join([sentence(rng, rng.randint(0, 20)), *told, sentence(rng, rng.randint(0, 20))])))
+        rows += [(100 + 2 * k, " ".join(told[:half])), (101 + 2 * k, " ".join(told[half:]))]  # neighbours that hold a passage only together
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r.n_near for r in decontaminate.contamination(docs, spark.createDataFrame(items, "item_id long, text string"), proximity=within).collect()}
+    want = {i: near_by_hand(t, items, within) for i, t in rows}
+    assert sum(n > 0 for n in want.values()) > 15
+    assert got == want
+
+
+def test_reordered_passages_are_dropped(spark):
+    passage = sentence(random.Random(2), 20).split()
+    edited = [*passage[12:], "and", *passage[5:12], "so", *passage[:5]]
+    docs = spark.createDataFrame([(1, "before " + " ".join(edited) + " after"), (2, (" " + "x " * 9).join(passage)), (3, "plain text")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, " ".join(passage))], "item_id long, text string")
+    assert sorted(r.doc_id for r in decontaminate.drop_contaminated(docs, items, proximity=decontaminate.PROXIMITY).collect()) == [2, 3]
+    assert decontaminate.contamination(docs, items, proximity=decontaminate.PROXIMITY).where("doc_id = 1").first().n_hit == 0

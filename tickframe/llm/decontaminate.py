@@ -16,6 +16,10 @@ SHARD_WORDS = 1_500_000
 #: Bytes of benchmark text whose windows, and distinct terms whose hashes, go to the executors at once.
 BLOCK_BYTES = 2 << 20
 MOST_TERMS = 4_000_000
+#: Percent of an item's distinct terms that a proximity match must hold.
+NEAR_SHARE = 80
+#: Words beyond an item's own number within which a proximity match stands, where proximity is run.
+PROXIMITY = 10
 
 _INDEX = "doc_ids array<{id}>, n_words array<bigint>, terms array<bigint>, sizes array<int>, gaps binary"
 
@@ -155,7 +159,8 @@ def contamination(
     windows are its runs of ``window`` words; an item of fewer is one window.  ``n_hit`` counts
     the document's words inside exact occurrences of windows, ``items`` lists the items (as
     strings, sorted) with such occurrences.  With ``proximity``, ``n_near`` counts the items
-    without one whose rarest three terms stand within so many words, in any order; else 0.
+    without one of which ``NEAR_SHARE`` percent of the distinct terms stand in any order within
+    so many words of the document as the item has and ``proximity`` more; else it is 0.
 
     The index of ``build_index`` is written to the shared folder and searched shard by shard,
     each row by itself: nothing is shuffled, and a frequent word or passage only lengthens
@@ -166,13 +171,15 @@ def contamination(
     Null texts have no words, and an item without words matches nothing; repeated rows are
     documents of their own; items with equal names count once.  Other columns are not read.
     """
+    if proximity is not None and proximity < 0:
+        raise ValueError("proximity must not be negative")
     spark = docs.sparkSession
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(item_text_col).alias("text"))
     size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     terms = stash(benchmark_terms(items), "terms")
     index = build_index(docs, terms if terms.count() <= MOST_TERMS else None, window=window, id_col=id_col, text_col=text_col)
     blocks = max(1, -(-size // BLOCK_BYTES))
-    found = index.withColumns({"at": F.array().cast("array<int>"), "item": F.array().cast("array<string>"), "near_at": F.array().cast("array<int>")})
+    found = index.withColumns({"at": F.array().cast("array<int>"), "item": F.array().cast("array<string>"), "near": F.array().cast("array<string>")})
     for k in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k) if blocks > 1 else items
         memo = WordHashes()
@@ -195,12 +202,13 @@ def _postings(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _searcher(sent, window: int, proximity: int | None):
     """For ``mapInArrow`` over index rows: adds to each the matches with one block of items.
 
-    ``at`` holds hit positions; ``item`` holds ``position of a hit:item`` for exact and
-    ``near_at`` the positions for proximity matches.
+    ``at`` holds hit positions; ``item`` and ``near`` hold ``number of the document:item`` for exact
+    and for proximity matches.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = _Windows(sent.value, window)
+        bags = _Bags(sent.value) if proximity is not None else None
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1)
@@ -210,10 +218,11 @@ def _searcher(sent, window: int, proximity: int | None):
                 hit = np.unique(np.concatenate([row.column("at")[0].values.to_numpy(), *(start[n == m][:, None] + np.arange(m) for m in np.unique(n))], axis=None)) if len(start) else row.column("at")[0].values.to_numpy()
                 pairs = np.unique(np.stack([doc, item], 1), axis=0) if len(doc) else np.zeros((0, 2), np.int64)
                 names = row.column("item")[0].as_py() + [f"{d}:{windows.names[i]}" for d, i in pairs.tolist()]
-                near = row.column("near_at")[0].as_py()
-                if proximity:
-                    near += _near(row, terms, sizes, pos, sent.value, set(map(tuple, pairs.tolist())), proximity, window)
-                new = {"at": pa.array([hit], pa.list_(pa.int32())), "item": pa.array([names], pa.list_(pa.string())), "near_at": pa.array([near], pa.list_(pa.int32()))}
+                near = row.column("near")[0].as_py()
+                if bags:
+                    found = _near(terms, sizes, pos, row.column("n_words")[0].values.to_numpy(), window, bags, proximity)
+                    near += [f"{d}:{windows.names[i]}" for d, i in found]
+                new = {"at": pa.array([hit], pa.list_(pa.int32())), "item": pa.array([names], pa.list_(pa.string())), "near": pa.array([near], pa.list_(pa.string()))}
                 yield pa.RecordBatch.from_arrays([new.get(f.name, row.column(f.name)) for f in batch.schema], schema=pa.schema([pa.field(f.name, new[f.name].type if f.name in new else f.type) for f in batch.schema]))
 
     return run
@@ -224,18 +233,56 @@ def _doc_of(row: pa.RecordBatch, window: int, positions: np.ndarray) -> np.ndarr
     return np.searchsorted(np.cumsum(n + window), positions, "right")
 
 
-def _near(row, terms, sizes, pos, items, exact: set, within: int, window: int) -> list[int]:
-    """Document numbers, one for each item whose three rarest terms stand within ``within`` words there."""
-    begin, out = np.cumsum(sizes) - sizes, []
-    for k, (_, h) in enumerate(items):
-        at = np.searchsorted(terms, np.unique(h)).clip(max=max(0, len(terms) - 1))
-        if not len(terms) or not len(h) or not np.array_equal(terms[at], np.unique(h)):
+class _Bags:
+    """The distinct terms of some benchmark items in a row, where each item's begin, and its number of words."""
+
+    def __init__(self, items: list[tuple[str, np.ndarray]]):
+        held = [(k, np.unique(h), len(h)) for k, (_, h) in enumerate(items) if len(h)]
+        self.item = np.array([k for k, _, _ in held], np.int64)
+        self.terms = np.concatenate([np.zeros(0, np.uint64), *(u for _, u, _ in held)])
+        self.n = np.array([len(u) for _, u, _ in held], np.int64)
+        self.words = np.array([n for _, _, n in held], np.int64)
+        self.begin = np.cumsum(self.n) - self.n
+        self.need = -(-self.n * NEAR_SHARE // 100)
+
+
+def _near(terms: np.ndarray, sizes: np.ndarray, pos: np.ndarray, n_words: np.ndarray, window: int, bags: _Bags, within: int) -> list[tuple[int, int]]:
+    """Pairs of a document's number and an item's for the proximity matches in one shard.
+
+    Documents that hold enough of an item's terms at all are counted first.  In those, a term
+    is in the span that ends at a word from each of its places on until the next one, the
+    span's length or the end of the document; a running sum of these intervals gives the terms
+    of every span.
+    """
+    out: list[tuple[int, int]] = []
+    if not len(terms) or not len(bags.item):
+        return out
+    ends = np.cumsum(n_words + window) - window
+    doc = np.searchsorted(ends + window, pos, "right")
+    begin = np.cumsum(sizes) - sizes
+    fresh = np.concatenate([[True], doc[1:] != doc[:-1]])
+    fresh[begin[sizes > 0]] = True
+    once = doc[fresh]  # the documents of each term, each once
+    stop = np.cumsum(np.add.reduceat(fresh, begin))
+    start = np.concatenate([[0], stop[:-1]])
+    at = np.searchsorted(terms, bags.terms).clip(max=len(terms) - 1)
+    held = terms[at] == bags.terms
+    for k in np.flatnonzero(np.add.reduceat(held, bags.begin, dtype=np.int64) >= bags.need):
+        mine = slice(bags.begin[k], bags.begin[k] + bags.n[k])
+        own, need, span = at[mine][held[mine]], bags.need[k], bags.words[k] + within
+        able = np.bincount(np.concatenate([once[start[t] : stop[t]] for t in own]), minlength=len(n_words)) >= need
+        if not able.any():
             continue
-        lists = [pos[begin[t] : begin[t] + sizes[t]] for t in at[np.argsort(sizes[at], kind="stable")][:3]]
-        where = lists[0]
-        for other in lists[1:]:
-            where = where[np.searchsorted(other, where - within) < np.searchsorted(other, where + within, "right")]
-        out += [d for d in np.unique(_doc_of(row, window, where)).tolist() if (d, k) not in exact]
+        keys = []
+        for t in own:
+            p, d = pos[begin[t] : begin[t] + sizes[t]], doc[begin[t] : begin[t] + sizes[t]]
+            p, d = p[able[d]], d[able[d]]
+            until = np.minimum(p + span, ends[d])
+            until[:-1] = np.minimum(until[:-1], p[1:])
+            keys += [2 * p + 1, 2 * until]  # at one place, ends come first
+        key = np.sort(np.concatenate(keys))
+        full = key[np.cumsum(2 * (key & 1) - 1) >= need] >> 1
+        out += [(d, int(bags.item[k])) for d in np.unique(np.searchsorted(ends + window, full, "right")).tolist()]
     return out
 
 
@@ -246,18 +293,19 @@ def _by_document(window: int):
                 row = batch.slice(k, 1)
                 ids, n = row.column("doc_ids")[0].values, row.column("n_words")[0].values.to_numpy()
                 hits = np.bincount(_doc_of(row, window, row.column("at")[0].values.to_numpy()), minlength=len(n))
-                near = np.bincount(np.array(row.column("near_at")[0].as_py(), np.int64), minlength=len(n))
-                named: list[set] = [set() for _ in range(len(n))]
-                for x in row.column("item")[0].as_py():
-                    doc, _, name = x.partition(":")
-                    named[int(doc)].add(name)
-                cols = [ids, pa.array(n), pa.array(hits.astype(np.int64)), pa.array([sorted(x) for x in named], pa.list_(pa.string())), pa.array(near.astype(np.int64))]
+                named, close = ([set() for _ in range(len(n))] for _ in range(2))
+                for column, sets in (("item", named), ("near", close)):
+                    for x in row.column(column)[0].as_py():
+                        doc, _, name = x.partition(":")
+                        sets[int(doc)].add(name)
+                near = np.array([len(x - y) for x, y in zip(close, named, strict=True)], np.int64)
+                cols = [ids, pa.array(n), pa.array(hits.astype(np.int64)), pa.array([sorted(x) for x in named], pa.list_(pa.string())), pa.array(near)]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_words", "n_hit", "items", "n_near"])
 
     return run
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without those that hold a benchmark window, by id: rows without an id stay, and rows that share one go together."""
-    found = contamination(docs, benchmark, window=window, id_col=id_col, text_col=text_col)
-    return without(docs, found.where("n_hit > 0").select("doc_id"), id_col)
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, proximity: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without those that hold a benchmark window or, with ``proximity``, an item's terms close together; by id: rows without an id stay, and rows that share one go together."""
+    found = contamination(docs, benchmark, window=window, proximity=proximity, id_col=id_col, text_col=text_col)
+    return without(docs, found.where("n_hit > 0 or n_near > 0").select("doc_id"), id_col)

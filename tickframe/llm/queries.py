@@ -80,6 +80,12 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), names, (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op6_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 6 with its proximity matches, for which the SQL of ``op6_decontamination`` has no column."""
+    out = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), proximity=decontaminate.PROXIMITY)
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "n_near", ((F.col("n_hit") > 0) | (F.col("n_near") > 0)).alias("contaminated"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(_table(spark, sf_dir, "documents"))
 
@@ -104,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_secret_scan": op4_secret_scan,
     "op5_license_scan": op5_license_scan,
     "op6_decontamination": op6_decontamination,
+    "op6_proximity": op6_proximity,
     "op7_sharding": op7_sharding,
     "op8_host_quality": op8_host_quality,
     "op9_line_dedup": op9_line_dedup,
