@@ -88,3 +88,56 @@ def test_the_gate_lets_every_rule_through():
 def test_words_may_be_apart_in_any_way(spark):
     text = "It is RELEASED into the public-domain;\nall rights\nreserved"
     assert licenses.scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().labels == "proprietary,public-domain"
+
+
+def forms(pattern):
+    """Texts that match a rule: every branch once, optional parts left out and put in."""
+    from re import _parser as sre
+
+    def of(parsed):
+        found = [""]
+        for kind, arg in parsed:
+            kind = str(kind)
+            if kind == "LITERAL":
+                more = [chr(arg)]
+            elif kind == "SUBPATTERN":
+                more = of(arg[-1])
+            elif kind == "BRANCH":
+                more = [x for b in arg[1] for x in of(b)]
+            elif kind == "IN":
+                more = [chr(a) if str(k) == "LITERAL" else "w" for k, a in arg]
+            elif kind == "ANY":
+                more = ["w"]
+            else:
+                assert kind == "MAX_REPEAT", kind
+                low, high, body = arg
+                more = ["", *of(body)] if low == 0 else of(body)
+            found = [a + b for a in found for b in more]
+        return found
+
+    return of(sre.parse(pattern))
+
+
+def test_every_form_of_every_rule_passes_its_prefilter():
+    for (label, _, keyword, pattern), parts in zip(licenses.rules(), licenses._named(), strict=True):
+        gates = [g for g in licenses.GATES if all(any(part in w for w in keyword.split()) for part in g)]
+        assert gates, keyword
+        for text in forms(pattern):
+            assert re.fullmatch(pattern, text), (pattern, text)
+            assert keyword in text, (label, keyword, text)
+            assert parts is None or any(p in text for p in parts), (label, parts, text)
+
+
+def test_rules_without_any_prefilter(spark):
+    frames = ["This library is released under the {}.", "Distributed under the terms of the {}", "available under {}"]
+    names = ["GPL v3", "Apache 2.0", "CC BY SA 4.0", "MPL 2.0", "BSD 3-Clause", "MIT", "GNU General\nPublic-License v2", "Creative Commons é Zero", "ruby", "ASL 2.0", "Expat", "SIL Open\tFont License"]
+    told = [f.format(n) for f in frames for n in names]
+    told += ["Unauthorized copying of this file is strictly prohibited", "You may not use this file except in compliance with the License", "Free Software Foundation; either version 2 of the License", "provided under the MIT terms", "under the sea"]
+    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(told)), "doc_id long, text string")).collect()}
+    for i, text in enumerate(told):
+        words = WORD.findall(text.translate(LOWER))
+        labels = {label for label, _, _, r in licenses.rules() if places(words, r)}
+        assert set(filter(None, got[i].labels.split(","))) <= labels
+        assert bool(labels) == bool(got[i].labels), (text, labels, got[i])
+    assert [got[i].labels for i in (0, 1, 3, 4, 5)] == ["gpl-3", "apache-2", "mpl-2", "bsd-3", "mit"]
+    assert got[2].labels == "cc-by-sa"

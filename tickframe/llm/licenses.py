@@ -21,6 +21,7 @@ BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2
 GATES: tuple[tuple[str, ...], ...] = (
     ("licen",), ("copyright",), ("spdx",), ("apache",), ("gpl",), ("gnu",), ("mozilla",), ("eclipse",), ("creative",), ("cc", "by"), ("public", "domain"), ("warranty",),
     ("redistribution",), ("rights", "reserved"), ("permission",), ("endorse",), ("advertising",), ("wtfpl",), ("boost",), ("artistic",), ("openssl",), ("unicode",),
+    ("under",), ("unauthori",), ("proprietary",),
 )
 
 #: Licences: SPDX-like label, then the ways their names are written as lower-case words (regexes).
@@ -86,10 +87,37 @@ NAMES: tuple[tuple[str, str], ...] = (
     ("cc-by-nc-nd", "(?:cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:ative)?s)(?: [1234] 0)?"),
 )
 
-#: How a name is put: priority, the word the text must hold, and the frame around the name.
+#: Parts of words, of which each way to write a licence's name holds one; a label not named here stands for itself up to its first hyphen.
+PARTS: dict[str, tuple[str, ...]] = {
+    "mit": ("mit", "expat", "x11"),
+    "apache-2": ("apache", "asl"),
+    **{x: ("gpl", "general public") for x in ("gpl-1", "gpl-2", "gpl-3", "lgpl-2", "lgpl-2.1", "lgpl-3", "agpl-3")},
+    "gfdl": ("gfdl", "free documentation"),
+    **{x: (x.split("-")[0], "public license") for x in ("mpl-1", "mpl-2", "epl-1", "epl-2", "cpl")},
+    "cddl": ("cddl", "common development"),
+    "wtfpl": ("wtfpl", "do what the"),
+    "eupl": ("eupl", "european union"),
+    "python": ("psf", "python software"),
+    "ofl": ("ofl", "open font"),
+    "odbl": ("odbl", "database license"),
+    "odc-by": ("odc by", "attribution license"),
+    "pddl": ("pddl", "public domain dedication"),
+    "ms-pl": ("ms pl", "microsoft public"),
+    "ms-rl": ("ms rl", "microsoft reciprocal"),
+    "osl-3": ("osl", "open software"),
+    "afl-3": ("afl", "academic free"),
+    "upl": ("upl", "permissive license"),
+    "ncsa": ("ncsa", "university of illinois"),
+    "bsl": ("busl", "business source"),
+    "sspl": ("sspl", "server side"),
+    "cc0": ("cc0", "cc zero", "commons zero"),
+    **{x: ("cc by", "commons attribution") for x in ("cc-by", "cc-by-sa", "cc-by-nd", "cc-by-nc", "cc-by-nc-sa", "cc-by-nc-nd")},
+}
+
+#: How a name is put: priority, a word that every match holds, and the frame around the name.
 FRAMES: tuple[tuple[int, str, str], ...] = (
     (95, "spdx", "spdx license identifier (?:{})"),
-    (80, "licen", "(?:licensed|distributed|released|available|provided|published) under (?:the )?(?:terms of (?:the )?)?(?:{})(?: licen[cs]e)?"),
+    (80, "under", "(?:licensed|distributed|released|available|provided|published) under (?:the )?(?:terms of (?:the )?)?(?:{})(?: licen[cs]e)?"),
     (75, "licen", "licen[cs]e (?:is )?(?:the )?(?:{})"),
     (70, "licen", "(?:under )?(?:the )?(?:{}) licen[cs]e"),
 )
@@ -103,11 +131,11 @@ SIGNATURES: tuple[tuple[str, int, str, str], ...] = (
     ("bsd-3", 88, "endorse", "neither the names? of .{0,80}may be used to endorse or promote products derived from"),
     ("bsd-4", 90, "advertising", "all advertising materials mentioning features or use of this software must display"),
     ("apache-2", 90, "apache", "apache license version 2 0 january 2004"),
-    ("apache-2", 90, "apache", "you may not use this file except in compliance with the license"),
+    ("apache-2", 90, "licen", "you may not use this file except in compliance with the license"),
     ("apache-2", 85, "apache", "www apache org licenses license 2 0"),
     ("gpl", 80, "gnu", "gnu general public license as published by the free software foundation"),
-    ("gpl-2", 88, "gnu", "free software foundation either version 2 of the license"),
-    ("gpl-3", 88, "gnu", "free software foundation either version 3 of the license"),
+    ("gpl-2", 88, "licen", "free software foundation either version 2 of the license"),
+    ("gpl-3", 88, "licen", "free software foundation either version 3 of the license"),
     ("gpl-3", 90, "gnu", "gnu general public license version 3 29 june 2007"),
     ("gpl-2", 90, "gnu", "gnu general public license version 2 june 1991"),
     ("lgpl-2.1", 90, "gnu", "gnu lesser general public license version 2 1 february 1999"),
@@ -143,8 +171,9 @@ SIGNATURES: tuple[tuple[str, int, str, str], ...] = (
     ("cc-by-nc-nd", 66, "cc by", "cc by nc nd"),
     ("cc-by-nc", 65, "cc by", "cc by nc"),
     ("proprietary", 40, "rights reserved", "all rights reserved"),
-    ("proprietary", 60, "licen", "(?:this|the) software is (?:licensed not sold|proprietary)"),
-    ("proprietary", 65, "copyright", "unauthori[sz]ed (?:copying|use|reproduction|distribution) of this .{0,60}is (?:strictly )?prohibited"),
+    ("proprietary", 60, "licen", "(?:this|the) software is licensed not sold"),
+    ("proprietary", 60, "proprietary", "(?:this|the) software is proprietary"),
+    ("proprietary", 65, "unauthori", "unauthori[sz]ed (?:copying|use|reproduction|distribution) of this .{0,60}is (?:strictly )?prohibited"),
     ("mit", 80, "licen", "under the mit license"),
     ("apache-2", 82, "apache", "apache license version 2(?: 0)?"),
     ("as-is", 30, "warranty", "without warranty of any kind"),
@@ -156,6 +185,15 @@ def rules() -> list[tuple[str, int, str, str]]:
     return list(SIGNATURES) + [(label, priority, keyword, frame.format(names)) for label, names in NAMES for priority, keyword, frame in FRAMES]
 
 
+def name_parts(label: str) -> tuple[str, ...]:
+    return PARTS.get(label, (label.split("-")[0],))
+
+
+def _named() -> list[tuple[str, ...] | None]:
+    """What a name's rules ask for besides their keyword, in the order of ``rules()``; None for signatures."""
+    return [None] * len(SIGNATURES) + [name_parts(label) for label, _ in NAMES for _ in FRAMES]
+
+
 def _spaces(part: Column) -> Column:
     return F.length(part) - F.length(F.replace(part, F.lit(" "), F.lit("")))
 
@@ -166,13 +204,20 @@ def _places(norm: Column, pattern: Column | str) -> Column:
     return F.transform(matches(norm, pattern, 0, _spaces), lambda x: F.struct((x["start"] - 1).alias("start"), x["end"].alias("end")))
 
 
+def _any_name(small: Column) -> Column:
+    """Whether lower-case text, with anything between words, holds the words of some name's part."""
+    parts = sorted({p for label, _ in NAMES for p in name_parts(label)})
+    return F.rlike(small, F.lit("|".join(p.replace(" ", "[^0-9a-z]+") for p in parts)))
+
+
 def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, detections, score``.
 
     Words are runs of ``[0-9a-z]`` and non-ASCII characters, A-Z in lower case, numbered from 0.
     Base phrases give ``n_base`` (all places), their smallest and largest start and their labels.
     The ordered rules run over texts that one of ``GATES`` lets through, each rule only if its own
-    keyword is there.  A detection inside another of higher priority, or of equal priority and
+    keyword is there, and a name's rules only if one of its ``PARTS`` is; every match holds these,
+    so they change no result.  A detection inside another of higher priority, or of equal priority and
     more words, is suppressed (of equal ones the first rule stays); the rest are ``detections``,
     structs of start, end, priority and label, and ``labels`` are theirs and the base ones.
     ``score`` is the highest priority among them / 100, at least 0.8 with a base phrase, 0 with
@@ -185,7 +230,7 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     small = F.lower(text)
     gate = F.lit(False)
     for parts in GATES:
-        gate = gate | reduce(and_, (F.contains(small, F.lit(p)) for p in parts))
+        gate = gate | reduce(and_, (F.contains(small, F.lit(p)) for p in parts), _any_name(small) if parts == ("under",) else F.lit(True))
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     norm = F.concat(F.lit(" "), F.btrim(F.regexp_replace(F.translate(text, upper, lower), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "), F.lit(" ")), F.lit(" "))
     rows = docs.select(
@@ -194,10 +239,10 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         F.when(gate, norm).alias("norm"),
     )
 
-    table = F.array(*(F.struct(F.lit(label).alias("label"), F.lit(-p).alias("rank"), F.lit(n).alias("nth"), F.lit(k).alias("keyword"), F.lit(f"(?<= )(?:{r})(?= )").alias("pattern")) for n, (label, p, k, r) in enumerate(rules())))
+    table = F.array(*(F.struct(F.lit(label).alias("label"), F.lit(-p).alias("rank"), F.lit(n).alias("nth"), F.lit(k).alias("keyword"), (F.array(*map(F.lit, also)) if also else F.array(F.lit(" "))).alias("parts"), F.lit(f"(?<= )(?:{r})(?= )").alias("pattern")) for n, ((label, p, k, r), also) in enumerate(zip(rules(), _named(), strict=True))))
 
     def detect(norm: Column) -> Column:
-        live = F.filter(table, lambda r: F.contains(norm, r["keyword"]))
+        live = F.filter(table, lambda r: F.contains(norm, r["keyword"]) & F.exists(r["parts"], lambda p: F.contains(norm, p)))
         return F.flatten(F.transform(live, lambda r: F.transform(_places(norm, r["pattern"]), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), (-r["rank"]).alias("priority"), r["nth"].alias("nth"), r["label"].alias("label")))))
 
     def inside(x: Column, y: Column) -> Column:
