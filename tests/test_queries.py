@@ -28,3 +28,9 @@ def test_query_equals_its_sql(spark, tables, name):
     assert sorted(want.columns) == columns
     rows = lambda found, names: sorted(repr([r[names.index(c)] for c in columns]) for r in found)
     assert rows(map(tuple, got.collect()), got.columns) == rows(want.fetchall(), want.columns)
+
+
+def test_game_time_keeps_late_events(spark, tmp_path):
+    spark.range(999_990, 1_000_010).withColumnRenamed("id", "event_id").write.parquet(str(tmp_path / "events.parquet"))
+    got = {r.event_id: r.game_time for r in q.QUERIES["game_time"](spark, str(tmp_path)).collect()}
+    assert got == {k: k / 64 for k in range(999_990, 1_000_010)}  # exact as float below 2 ** 24

@@ -230,7 +230,7 @@ def stickers(spark, d):
 
 @query("SELECT event_id, event_id / 64 AS game_time FROM events WHERE event_id < 1000000")
 def game_time(spark, d):
-    return _t(spark, d, "events").where("event_id < 1000000").select("event_id", derived.game_time(F.col("event_id")).cast("double").alias("game_time"))
+    return _t(spark, d, "events").select("event_id", derived.game_time(F.col("event_id")).cast("double").alias("game_time"))
 
 
 _HIT = " ".join(f"WHEN {k} THEN '{v}'" for k, v in labels.HIT_GROUP.items())
