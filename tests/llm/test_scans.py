@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -141,3 +142,21 @@ def test_rules_without_any_prefilter(spark):
         assert bool(labels) == bool(got[i].labels), (text, labels, got[i])
     assert [got[i].labels for i in (0, 1, 3, 4, 5)] == ["gpl-3", "apache-2", "mpl-2", "bsd-3", "mit"]
     assert got[2].labels == "cc-by-sa"
+
+
+PREFIXES = ("/home/service/config/production/", "client_private_value=", "access_credential=", "AWS_SECRET_ACCESS_KEY=", "deploy-key-")
+
+
+def test_secrets_behind_ordinary_names(spark):
+    rng = random.Random(5)
+    base62 = secrets.ALPHABET[:62]
+    told = [(f"see {p}", "".join(rng.choices(base62, k=n)), s) for p in PREFIXES for n in (24, 32, 40) for s in ("", "/config/settings", "=") for _ in range(8)]
+    got = {r.doc_id: r for r in secrets.scan_secrets(spark.createDataFrame([(k, a + b + c) for k, (a, b, c) in enumerate(told)], "doc_id long, text string")).collect()}
+    found = [any(k == "markov" and int(x) < len(a) + len(b) and int(y) > len(a) for k, x, y in (z.split(":") for z in got[i].spans.split(",") if z)) for i, (a, b, _) in enumerate(told)]
+    assert sum(found) / len(found) > 0.95, sum(found) / len(found)
+
+
+def test_ordinary_names_are_left_alone(spark):
+    held = secrets.labelled_samples(spark, 1500, "held out").where("not random").select(F.monotonically_increasing_id().alias("doc_id"), F.col("token").alias("text"))
+    wrong = secrets.scan_secrets(held).where("n_markov > 0").count() / 1500
+    assert wrong < 0.01, wrong

@@ -19,6 +19,11 @@ HEX = r"[0-9a-f]{32,}"
 KINDS = ("assign", "access", "hex", "markov")
 
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+#: What joins the parts of a run; a part keeps the ones after it.
+JOINTS = "=/_+-"
+PART = r"[^=/_+-]+[=/_+-]*|[=/_+-]+"
+#: A stretch of parts ends where its score has fallen by so many nats.
+DROP = 10.0
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 
 #: Parts of ordinary identifiers for the labelled samples.
@@ -91,6 +96,36 @@ def log_ratio(token: Column, table: list[float]) -> Column:
     return F.when(F.length(token) >= 2, total / (F.length(token) - 1)).otherwise(F.lit(0.0))
 
 
+def _stretches(run: Column, model: list[float], min_ratio: float) -> Column:
+    """Stretches of whole parts of a run (a struct of start, end and value) that score above ``min_ratio``, by running sums.
+
+    A part scores its log-likelihood ratio less ``min_ratio`` a transition.  A stretch goes from
+    where the sum last was 0 to its peak, and is closed once the sum falls to 0 or by ``DROP``.
+    """
+    scored = F.transform(F.regexp_extract_all(run["value"], F.lit(PART), F.lit(0)), lambda p: F.struct(F.length(p).alias("n"), ((log_ratio(p, model) - min_ratio) * (F.length(p) - 1)).alias("gain")))
+
+    def closed(acc: Column) -> Column:
+        return F.when(acc["best"] > 0, F.concat(acc["out"], F.array(F.struct(acc["start"].alias("start"), acc["end"].alias("end"))))).otherwise(acc["out"])
+
+    def step(acc: Column, p: Column) -> Column:
+        total, at = acc["sum"] + p["gain"], acc["at"] + p["n"]
+        over, higher = (total <= 0) | (total < acc["best"] - DROP), total > acc["best"]
+        return F.struct(
+            at.alias("at"),
+            F.when(over, at).otherwise(acc["start"]).alias("start"),
+            F.when(over, F.lit(0.0)).otherwise(total).alias("sum"),
+            F.when(over, F.lit(0.0)).when(higher, total).otherwise(acc["best"]).alias("best"),
+            F.when(higher, at).otherwise(acc["end"]).alias("end"),
+            F.when(over, closed(acc)).otherwise(acc["out"]).alias("out"),
+        )
+
+    begin = F.struct(F.lit(0).alias("at"), F.lit(0).alias("start"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"), F.lit(0).alias("end"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+    found = F.aggregate(scored, begin, step, closed)
+    values = F.transform(found, lambda x: F.struct((run["start"] + x["start"]).alias("start"), F.rtrim(F.substring(run["value"], x["start"] + 1, x["end"] - x["start"]), F.lit(JOINTS)).alias("value")))
+    long = F.filter(values, lambda x: (F.length(x["value"]) >= 20) & (log_ratio(x["value"], model) >= min_ratio))
+    return F.transform(long, lambda x: F.struct(x["start"].alias("start"), (x["start"] + F.length(x["value"])).alias("end"), x["value"].alias("value")))
+
+
 def _kind(found: Column, kind: str) -> Column:
     return F.transform(found, lambda x: F.struct(x["start"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), x["end"].alias("end")))
 
@@ -107,7 +142,8 @@ def scan_secrets(docs: DataFrame, *, model: list[float] | None = None, min_ratio
     three kinds are fixed patterns (leftmost, not overlapping, matches that are too short
     dropped); ``markov`` are runs of 20 or more token characters that meet no other span and
     whose transitions are likelier in random strings than in identifiers by ``min_ratio`` nats
-    each.  ``model`` is what ``train_markov`` returns; by default it is trained on
+    each; of other runs, the stretches of 20 or more characters between ``JOINTS`` that are so
+    (see ``_stretches``).  ``model`` is what ``train_markov`` returns; by default it is trained on
     ``labelled_samples``.
 
     A pure projection: no shuffle, and every row for itself, so ties and repeated rows need no
@@ -127,7 +163,8 @@ def scan_secrets(docs: DataFrame, *, model: list[float] | None = None, min_ratio
     base = F.concat(_kind(F.col("assign"), "assign"), _kind(F.col("access"), "access"), _kind(F.col("hex"), "hex"))
     rows = rows.select("*", base.alias("base"))
     apart = lambda x: ~F.exists(F.col("base"), lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
-    markov = F.filter(F.col("tokens"), lambda x: apart(x) & (log_ratio(x["value"], model) >= min_ratio))
+    inside = F.flatten(F.transform("tokens", lambda x: F.when(apart(x) & (log_ratio(x["value"], model) >= min_ratio), F.array(x)).otherwise(_stretches(x, model, min_ratio))))
+    markov = F.filter(inside, apart)
     rows = rows.select("*", F.when(F.size("tokens") > 0, _kind(markov, "markov")).otherwise(F.array().cast("array<struct<start:int,rank:int,end:int>>")).alias("markov"))
     counts = [F.size(k).cast("long").alias(f"n_{k}") for k in KINDS]
     return rows.select("doc_id", *counts, _joined(F.col("base")).alias("base_spans"), _joined(F.concat("base", "markov")).alias("spans"))
