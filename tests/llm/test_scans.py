@@ -5,7 +5,7 @@ import pytest
 from cases import SCHEMA, documents
 from pyspark.sql import functions as F
 
-from tickframe.llm import licenses, secrets
+from tickframe.llm import licenses, secrets, spans
 
 ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 EXTRA = [
@@ -80,10 +80,10 @@ def test_licenses_equal_brute_force(spark, rows):
 
 
 def test_the_gate_lets_every_rule_through():
-    assert all(part.isalnum() for gate in licenses.GATES for part in gate)  # so that no line break or hyphen can stand inside
+    assert all(part.isalnum() for gate in licenses.gates() for part in gate)  # so that no line break or hyphen can stand inside
     for keyword in {*(k for _, _, k, _ in licenses.rules()), *(phrase for phrase, _ in licenses.BASE)}:
         words = keyword.split()
-        assert any(all(any(part in w for w in words) for part in gate) for gate in licenses.GATES), keyword
+        assert any(all(any(part in w for w in words) for part in gate) for gate in licenses.gates()), keyword
 
 
 def test_words_may_be_apart_in_any_way(spark):
@@ -121,7 +121,7 @@ def forms(pattern):
 
 def test_every_form_of_every_rule_passes_its_prefilter():
     for (label, _, keyword, pattern), parts in zip(licenses.rules(), licenses._named(), strict=True):
-        gates = [g for g in licenses.GATES if all(any(part in w for w in keyword.split()) for part in g)]
+        gates = [g for g in licenses.gates() if all(any(part in w for w in keyword.split()) for part in g)]
         assert gates, keyword
         for text in forms(pattern):
             assert re.fullmatch(pattern, text), (pattern, text)
@@ -160,3 +160,55 @@ def test_ordinary_names_are_left_alone(spark):
     held = secrets.labelled_samples(spark, 1500, "held out").where("not random").select(F.monotonically_increasing_id().alias("doc_id"), F.col("token").alias("text"))
     wrong = secrets.scan_secrets(held).where("n_markov > 0").count() / 1500
     assert wrong < 0.01, wrong
+
+
+def spoken(pattern):
+    """A text that matches a signature, in capitals, with commas and line breaks between its words."""
+    words = next(x for x in forms(pattern) if re.fullmatch(pattern, x)).split()
+    return "".join(w.upper() + (",\n" if k % 5 == 4 else " ") for k, w in enumerate(words))
+
+
+def test_every_signature_is_found_in_a_text_of_its_own(spark):
+    assert len(licenses.SIGNATURES) >= 200
+    assert len({r for *_, r in licenses.SIGNATURES}) == len(licenses.SIGNATURES)
+    told = [(k, f"Some words before. {spoken(r)}; and after") for k, (*_, r) in enumerate(licenses.SIGNATURES)]
+    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(told, "doc_id long, text string")).collect()}
+    for k, (label, priority, _, _) in enumerate(licenses.SIGNATURES):
+        found = got[k].detections
+        assert any(x.label == label or x.priority >= priority for x in found), (label, told[k], found)
+    own = sum(label in got[k].labels.split(",") for k, (label, *_) in enumerate(licenses.SIGNATURES))
+    assert own > 0.97 * len(licenses.SIGNATURES), own
+
+
+def test_dense_texts_take_time_in_proportion(spark):
+    import time
+
+    def timed(op, text):
+        begin = time.perf_counter()
+        out = op(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+        return out, time.perf_counter() - begin
+
+    model = secrets.train_markov(secrets.labelled_samples(spark))
+    scan = lambda df: secrets.scan_secrets(df, model=model)
+    random_text = "".join(random.Random(4).choices(secrets.ALPHABET[:62], k=400_000))
+    for op, text, n in (
+        (scan, "token=abcdefgh12 xx\n" * 50_000, 50_000),
+        (scan, random_text, 1),
+        (scan, "/".join(random_text[k : k + 30] + "/home/service/config/production/settings" for k in range(0, 60_000, 30)), None),
+        (licenses.scan_licenses, "all rights reserved under the MIT license, CC BY-NC GPL licensed. " * 12_500, 50_000),
+    ):
+        timed(op, text[:600])
+        out, took = timed(op, text)
+        assert took < 15, (text[:60], took)
+        if n:
+            assert n == (len(out.detections) if "detections" in out else out.n_assign or out.n_markov)
+
+
+def test_running_and_bisection(spark):
+    rows = [(k, [(7 * j * k) % 11 - 3 for j in range(k)], k % 9) for k in range(0, 70)]
+    df = spark.createDataFrame(rows, "k int, v array<int>, bound int")
+    got = df.select("k", "v", "bound", spans.running(F.col("v"), lambda a, b: a + b).alias("s"), spans.running(F.col("v"), F.greatest).alias("m"), spans.count_below(F.array_sort("v"), F.col("bound")).alias("n")).collect()
+    for r in got:
+        assert r.s == [sum(r.v[: j + 1]) for j in range(len(r.v))]
+        assert r.m == [max(r.v[: j + 1]) for j in range(len(r.v))]
+        assert r.n == sum(x < r.bound for x in r.v)

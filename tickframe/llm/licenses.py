@@ -5,25 +5,19 @@ Everything here is built of SQL functions; no Python runs on the executors.
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .spans import matches, once
+from .signatures import SIGNATURES
+from .spans import matches, once, running
 
 #: Phrases that always give their label.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
-#: What the prefilter asks for: a text must hold all parts of one entry, in any case.  Parts are
-#: single words or pieces of them, so that it does not matter what stands between two words.
-GATES: tuple[tuple[str, ...], ...] = (
-    ("licen",), ("copyright",), ("spdx",), ("apache",), ("gpl",), ("gnu",), ("mozilla",), ("eclipse",), ("creative",), ("cc", "by"), ("public", "domain"), ("warranty",),
-    ("redistribution",), ("rights", "reserved"), ("permission",), ("endorse",), ("advertising",), ("wtfpl",), ("boost",), ("artistic",), ("openssl",), ("unicode",),
-    ("under",), ("unauthori",), ("proprietary",),
-)
-
 #: Licences: SPDX-like label, then the ways their names are written as lower-case words (regexes).
 NAMES: tuple[tuple[str, str], ...] = (
     ("mit", "mit|expat|x11"),
@@ -122,64 +116,6 @@ FRAMES: tuple[tuple[int, str, str], ...] = (
     (70, "licen", "(?:under )?(?:the )?(?:{}) licen[cs]e"),
 )
 
-#: Signatures of licence texts and notices: label, priority, keyword, regex over lower-case words.
-SIGNATURES: tuple[tuple[str, int, str, str], ...] = (
-    ("mit", 90, "permission", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    ("mit", 85, "permission", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
-    ("isc", 90, "permission", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("bsd", 85, "redistribution", "redistribution and use in source and binary forms with or without modification are permitted"),
-    ("bsd-3", 88, "endorse", "neither the names? of .{0,80}may be used to endorse or promote products derived from"),
-    ("bsd-4", 90, "advertising", "all advertising materials mentioning features or use of this software must display"),
-    ("apache-2", 90, "apache", "apache license version 2 0 january 2004"),
-    ("apache-2", 90, "licen", "you may not use this file except in compliance with the license"),
-    ("apache-2", 85, "apache", "www apache org licenses license 2 0"),
-    ("gpl", 80, "gnu", "gnu general public license as published by the free software foundation"),
-    ("gpl-2", 88, "licen", "free software foundation either version 2 of the license"),
-    ("gpl-3", 88, "licen", "free software foundation either version 3 of the license"),
-    ("gpl-3", 90, "gnu", "gnu general public license version 3 29 june 2007"),
-    ("gpl-2", 90, "gnu", "gnu general public license version 2 june 1991"),
-    ("lgpl-2.1", 90, "gnu", "gnu lesser general public license version 2 1 february 1999"),
-    ("lgpl-3", 90, "gnu", "gnu lesser general public license version 3 29 june 2007"),
-    ("agpl-3", 90, "gnu", "gnu affero general public license version 3 19 november 2007"),
-    ("gpl", 60, "gpl", "gpl(?: licensed| compatible)"),
-    ("mpl-2", 90, "mozilla", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("mpl-1", 88, "mozilla", "contents of this file are subject to the mozilla public license version 1 [01]"),
-    ("epl-1", 88, "eclipse", "terms of the eclipse public license v1 0"),
-    ("epl-2", 88, "eclipse", "terms of the eclipse public license 2 0"),
-    ("unlicense", 90, "public domain", "this is free and unencumbered software released into the public domain"),
-    ("public-domain", 70, "public domain", "(?:released|placed|dedicated) (?:in|into|to) the public domain"),
-    ("public-domain", 60, "public domain", "(?:is|are) in the public domain"),
-    ("boost", 90, "boost", "boost software license version 1 0 august 17th 2003"),
-    ("zlib", 88, "warranty", "this software is provided as is without any express or implied warranty in no event will the authors be held liable"),
-    ("wtfpl", 85, "wtfpl", "wtfpl"),
-    ("artistic-2", 88, "artistic", "the artistic license 2 0"),
-    ("openssl", 85, "openssl", "developed by the openssl project for use in the openssl toolkit"),
-    ("unicode", 85, "unicode", "unicode data files or software"),
-    ("cc-by", 85, "creative", "creative commons attribution (?:[1234] 0 )?(?:international|unported|generic)"),
-    ("cc-by-sa", 86, "creative", "creative commons attribution share ?alike (?:[1234] 0 )?(?:international|unported|generic)"),
-    ("cc-by-nc", 86, "creative", "creative commons attribution non ?commercial (?:[1234] 0 )?(?:international|unported|generic)"),
-    ("cc-by", 84, "creative", "creativecommons org licenses by [1234] 0"),
-    ("cc-by-sa", 85, "creative", "creativecommons org licenses by sa [1234] 0"),
-    ("cc-by-nc", 85, "creative", "creativecommons org licenses by nc [1234] 0"),
-    ("cc-by-nd", 85, "creative", "creativecommons org licenses by nd [1234] 0"),
-    ("cc-by-nc-sa", 86, "creative", "creativecommons org licenses by nc sa [1234] 0"),
-    ("cc-by-nc-nd", 86, "creative", "creativecommons org licenses by nc nd [1234] 0"),
-    ("cc0", 86, "creative", "creativecommons org publicdomain zero 1 0"),
-    ("cc-by-sa", 65, "cc by", "cc by sa"),
-    ("cc-by-nd", 65, "cc by", "cc by nd"),
-    ("cc-by-nc-sa", 66, "cc by", "cc by nc sa"),
-    ("cc-by-nc-nd", 66, "cc by", "cc by nc nd"),
-    ("cc-by-nc", 65, "cc by", "cc by nc"),
-    ("proprietary", 40, "rights reserved", "all rights reserved"),
-    ("proprietary", 60, "licen", "(?:this|the) software is licensed not sold"),
-    ("proprietary", 60, "proprietary", "(?:this|the) software is proprietary"),
-    ("proprietary", 65, "unauthori", "unauthori[sz]ed (?:copying|use|reproduction|distribution) of this .{0,60}is (?:strictly )?prohibited"),
-    ("mit", 80, "licen", "under the mit license"),
-    ("apache-2", 82, "apache", "apache license version 2(?: 0)?"),
-    ("as-is", 30, "warranty", "without warranty of any kind"),
-)
-
-
 def rules() -> list[tuple[str, int, str, str]]:
     """All rules (label, priority, keyword, regex): the signatures, and every name in every frame."""
     return list(SIGNATURES) + [(label, priority, keyword, frame.format(names)) for label, names in NAMES for priority, keyword, frame in FRAMES]
@@ -194,6 +130,20 @@ def _named() -> list[tuple[str, ...] | None]:
     return [None] * len(SIGNATURES) + [name_parts(label) for label, _ in NAMES for _ in FRAMES]
 
 
+def gates() -> list[tuple[str, ...]]:
+    """What the prefilter asks for: a text must hold all parts of one entry, in any case.
+
+    These are the words of the rules' keywords and of the base phrases, one by one, so that it does not matter
+    what stands between two words; entries that a shorter one implies are left out.
+    """
+    every = sorted({tuple(k.split()) for _, _, k, _ in rules()} | {tuple(p.split()) for p, _ in BASE}, key=lambda g: (len(g), len("".join(g)), g))
+    out: list[tuple[str, ...]] = []
+    for gate in every:
+        if not any(all(any(part in word for word in gate) for part in known) for known in out):
+            out.append(gate)
+    return out
+
+
 def _spaces(part: Column) -> Column:
     return F.length(part) - F.length(F.replace(part, F.lit(" "), F.lit("")))
 
@@ -210,12 +160,52 @@ def _any_name(small: Column) -> Column:
     return F.rlike(small, F.lit("|".join(p.replace(" ", "[^0-9a-z]+") for p in parts)))
 
 
+def _whole(regex: str) -> str:
+    return f"(?<= )(?:{regex})(?= )"
+
+
+def _live(norm: str) -> Column:
+    """The numbers of the rules that match anywhere in a column.
+
+    Patterns are literals, which Spark compiles once, and only those whose keyword is there are
+    tried.  Built as one SQL text, as there are hundreds.
+    """
+    holds = lambda word: f"contains({norm}, '{word}')"
+    by_keyword: dict[str, list[str]] = {}
+    for n, ((_, _, keyword, regex), parts) in enumerate(zip(rules(), _named(), strict=True)):
+        named = f"({' OR '.join(map(holds, parts))}) AND " if parts else ""
+        by_keyword.setdefault(keyword, []).append(f"CASE WHEN {named}rlike({norm}, r'{_whole(regex)}') THEN {n} END")
+    tried = (f"CASE WHEN {holds(k)} THEN array({', '.join(own)}) ELSE CAST(array() AS array<int>) END" for k, own in by_keyword.items())
+    return F.expr(f"filter(flatten(array({', '.join(tried)})), n -> n IS NOT NULL)")
+
+
+def _unsuppressed(found: Column) -> Column:
+    """The detections that are not inside another of higher priority, nor of equal priority and more words; of equal ones the first rule's stays.
+
+    ``found`` has ``start, back, rank, nth, label`` (``back`` and ``rank`` being the negative end
+    and priority), and in its natural order whatever suppresses a detection stands before it.  So
+    a running maximum of the ends of each priority or higher tells who is inside another.
+    """
+
+    def sift(sorted_: Column) -> Column:
+        ranks = F.array_distinct(F.transform(sorted_, lambda x: x["rank"]))
+        tops = F.transform(ranks, lambda r: F.struct(r.alias("rank"), running(F.transform(sorted_, lambda x: F.when(x["rank"] <= r, -x["back"]).otherwise(-1)), F.greatest).alias("tops")))
+
+        def keep(tops: Column) -> Column:
+            above = lambda x, i: F.filter(tops, lambda t: t["rank"] == x["rank"])[0]["tops"][i - 1]
+            return F.filter(sorted_, lambda x, i: F.when(i == 0, True).otherwise(above(x, i) < -x["back"]))
+
+        return once(tops, keep)
+
+    return once(F.array_sort(found), sift)
+
+
 def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, detections, score``.
 
     Words are runs of ``[0-9a-z]`` and non-ASCII characters, A-Z in lower case, numbered from 0.
     Base phrases give ``n_base`` (all places), their smallest and largest start and their labels.
-    The ordered rules run over texts that one of ``GATES`` lets through, each rule only if its own
+    The ordered rules run over texts that one of ``gates()`` lets through, each rule only if its own
     keyword is there, and a name's rules only if one of its ``PARTS`` is; every match holds these,
     so they change no result.  A detection inside another of higher priority, or of equal priority and
     more words, is suppressed (of equal ones the first rule stays); the rest are ``detections``,
@@ -224,12 +214,13 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     nothing.
 
     A pure projection: no shuffle, and every row for itself, so ties and repeated rows need no
-    care.  Null and empty texts have no words.  Other columns are not read.
+    care.  Time grows with n log n of a text's matches.  Null and empty texts have no words.
+    Other columns are not read.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     small = F.lower(text)
     gate = F.lit(False)
-    for parts in GATES:
+    for parts in gates():
         gate = gate | reduce(and_, (F.contains(small, F.lit(p)) for p in parts), _any_name(small) if parts == ("under",) else F.lit(True))
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     norm = F.concat(F.lit(" "), F.btrim(F.regexp_replace(F.translate(text, upper, lower), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "), F.lit(" ")), F.lit(" "))
@@ -238,30 +229,26 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         F.regexp_count(text, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long").alias("n_words"),
         F.when(gate, norm).alias("norm"),
     )
+    rows = rows.withColumn("live", F.when(F.col("norm").isNotNull(), _live("norm")))
 
-    table = F.array(*(F.struct(F.lit(label).alias("label"), F.lit(-p).alias("rank"), F.lit(n).alias("nth"), F.lit(k).alias("keyword"), (F.array(*map(F.lit, also)) if also else F.array(F.lit(" "))).alias("parts"), F.lit(f"(?<= )(?:{r})(?= )").alias("pattern")) for n, ((label, p, k, r), also) in enumerate(zip(rules(), _named(), strict=True))))
+    told = json.dumps([{"label": label, "rank": -p, "nth": n, "pattern": _whole(r)} for n, (label, p, _, r) in enumerate(rules())])
+    table = F.from_json(F.lit(told), "array<struct<label:string,rank:int,nth:int,pattern:string>>")  # folded into a constant
 
     def detect(norm: Column) -> Column:
-        live = F.filter(table, lambda r: F.contains(norm, r["keyword"]) & F.exists(r["parts"], lambda p: F.contains(norm, p)))
-        return F.flatten(F.transform(live, lambda r: F.transform(_places(norm, r["pattern"]), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), (-r["rank"]).alias("priority"), r["nth"].alias("nth"), r["label"].alias("label")))))
-
-    def inside(x: Column, y: Column) -> Column:
-        longer = (y["end"] - y["start"]) - (x["end"] - x["start"])
-        above = (y["priority"] > x["priority"]) | ((y["priority"] == x["priority"]) & ((longer > 0) | ((longer == 0) & (y["nth"] < x["nth"]))))
-        return (y["start"] <= x["start"]) & (y["end"] >= x["end"]) & above
+        of_rule = lambda r: F.transform(_places(norm, r["pattern"]), lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("back"), r["rank"].alias("rank"), r["nth"].alias("nth"), r["label"].alias("label")))
+        return F.flatten(F.transform(F.transform("live", lambda n: table[n]), of_rule))
 
     def labelled(phrase: str, label: str) -> Column:
         return F.transform(_places(F.col("norm"), f"(?<= ){phrase}(?= )"), lambda x: F.struct(x["start"].alias("start"), F.lit(label).alias("label")))
 
     base = F.flatten(F.array(*(labelled(*x) for x in BASE)))
-    kept = once(detect(F.col("norm")), lambda d: F.filter(d, lambda x: ~F.exists(d, lambda y: inside(x, y))))
-    kept = F.transform(kept, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["priority"].alias("priority"), x["label"].alias("label")))
-    here = F.col("norm").isNotNull()
+    kept = F.transform(_unsuppressed(detect(F.col("norm"))), lambda x: F.struct(x["start"].alias("start"), (-x["back"]).alias("end"), (-x["rank"]).alias("priority"), x["label"].alias("label")))
+    here, hit = F.col("norm").isNotNull(), F.size("live") > 0
     rows = rows.select(
         "doc_id",
         "n_words",
         F.when(here, base).otherwise(F.array().cast("array<struct<start:int,label:string>>")).alias("base"),
-        F.when(here, kept).otherwise(F.array().cast("array<struct<start:int,end:int,priority:int,label:string>>")).alias("detections"),
+        F.when(hit, kept).otherwise(F.array().cast("array<struct<start:int,end:int,priority:int,label:string>>")).alias("detections"),
     )
     starts, priorities = F.transform("base", lambda x: x["start"]), F.transform("detections", lambda x: x["priority"])
     base_labels = F.array_sort(F.array_distinct(F.transform("base", lambda x: x["label"])))

@@ -10,7 +10,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .spans import matches
+from .spans import count_below, matches, once, running
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: A match that fails its length only has shorter runs inside, so the length can stand in the pattern.
@@ -87,13 +87,30 @@ def train_markov(samples: DataFrame) -> list[float]:
     return out
 
 
+def _chars(token: Column) -> Column:
+    return F.regexp_extract_all(token, F.lit("(?s)."), F.lit(0))
+
+
+def _mean_ratio(chars: Column, table: list[float]) -> Column:
+    # As texts, which Spark folds into one constant each; an unknown character's code leads out of the table.
+    ratios = F.split(F.lit(" ".join(map(repr, map(float, table)))), " ").cast("array<double>")
+    known = {c: k for k, c in enumerate(ALPHABET)}
+    codes = F.split(F.lit(" ".join(str(known.get(chr(c), -(10**6))) for c in range(128))), " ").cast("array<int>")
+
+    def mean(code: Column) -> Column:
+        step = lambda acc, i: acc + F.coalesce(F.get(ratios, F.get(code, i - 1) * len(ALPHABET) + F.get(code, i)), F.lit(0.0))
+        return F.when(F.size(code) >= 2, F.aggregate(F.sequence(F.lit(1), F.size(code) - 1), F.lit(0.0), step) / (F.size(code) - 1)).otherwise(F.lit(0.0))
+
+    return once(F.transform(chars, lambda c: F.get(codes, F.ascii(c))), mean)
+
+
 def log_ratio(token: Column, table: list[float]) -> Column:
     """Mean log-likelihood ratio of the token's transitions; 0 for fewer than two characters."""
-    ratios = F.lit([float(x) for x in table])
-    at = lambda i: F.instr(F.lit(ALPHABET), F.substring(token, i, F.lit(1)))
-    step = lambda acc, i: acc + F.coalesce(F.get(ratios, (at(i) - 1) * len(ALPHABET) + at(i + 1) - 1), F.lit(0.0))
-    total = F.aggregate(F.sequence(F.lit(1), F.length(token) - 1), F.lit(0.0), step)
-    return F.when(F.length(token) >= 2, total / (F.length(token) - 1)).otherwise(F.lit(0.0))
+    return _mean_ratio(_chars(token), table)
+
+
+#: Stretches of one chunk of a growing list, so that adding one does not copy all before it.
+CHUNK = 256
 
 
 def _stretches(run: Column, model: list[float], min_ratio: float) -> Column:
@@ -103,27 +120,37 @@ def _stretches(run: Column, model: list[float], min_ratio: float) -> Column:
     where the sum last was 0 to its peak, and is closed once the sum falls to 0 or by ``DROP``.
     """
     scored = F.transform(F.regexp_extract_all(run["value"], F.lit(PART), F.lit(0)), lambda p: F.struct(F.length(p).alias("n"), ((log_ratio(p, model) - min_ratio) * (F.length(p) - 1)).alias("gain")))
+    none = F.array().cast("array<struct<start:int,end:int>>")
 
     def closed(acc: Column) -> Column:
-        return F.when(acc["best"] > 0, F.concat(acc["out"], F.array(F.struct(acc["start"].alias("start"), acc["end"].alias("end"))))).otherwise(acc["out"])
+        """The open chunk with the stretch that ends, if it is long enough to be reported."""
+        span = F.struct(acc["start"].alias("start"), acc["end"].alias("end"))
+        return F.when((acc["best"] > 0) & (acc["end"] - acc["start"] >= 20), F.concat(acc["chunk"], F.array(span))).otherwise(acc["chunk"])
 
     def step(acc: Column, p: Column) -> Column:
         total, at = acc["sum"] + p["gain"], acc["at"] + p["n"]
         over, higher = (total <= 0) | (total < acc["best"] - DROP), total > acc["best"]
+        full = F.size(acc["chunk"]) >= CHUNK
         return F.struct(
             at.alias("at"),
             F.when(over, at).otherwise(acc["start"]).alias("start"),
             F.when(over, F.lit(0.0)).otherwise(total).alias("sum"),
             F.when(over, F.lit(0.0)).when(higher, total).otherwise(acc["best"]).alias("best"),
             F.when(higher, at).otherwise(acc["end"]).alias("end"),
-            F.when(over, closed(acc)).otherwise(acc["out"]).alias("out"),
+            F.when(full, none).when(over, closed(acc)).otherwise(acc["chunk"]).alias("chunk"),
+            F.when(full, F.concat(acc["chunks"], F.array(F.when(over, closed(acc)).otherwise(acc["chunk"])))).otherwise(acc["chunks"]).alias("chunks"),
         )
 
-    begin = F.struct(F.lit(0).alias("at"), F.lit(0).alias("start"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"), F.lit(0).alias("end"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-    found = F.aggregate(scored, begin, step, closed)
-    values = F.transform(found, lambda x: F.struct((run["start"] + x["start"]).alias("start"), F.rtrim(F.substring(run["value"], x["start"] + 1, x["end"] - x["start"]), F.lit(JOINTS)).alias("value")))
-    long = F.filter(values, lambda x: (F.length(x["value"]) >= 20) & (log_ratio(x["value"], model) >= min_ratio))
-    return F.transform(long, lambda x: F.struct(x["start"].alias("start"), (x["start"] + F.length(x["value"])).alias("end"), x["value"].alias("value")))
+    begin = F.struct(F.lit(0).alias("at"), F.lit(0).alias("start"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"), F.lit(0).alias("end"), none.alias("chunk"), F.array().cast("array<array<struct<start:int,end:int>>>").alias("chunks"))
+    found = F.aggregate(scored, begin, step, lambda acc: F.flatten(F.concat(acc["chunks"], F.array(closed(acc)))))
+
+    def report(chars: Column) -> Column:
+        text = lambda x: F.rtrim(F.array_join(F.transform(F.sequence(x["start"], x["end"] - 1), lambda i: chars[i]), ""), F.lit(JOINTS))
+        values = F.transform(found, lambda x: F.struct((run["start"] + x["start"]).alias("start"), text(x).alias("value")))
+        long = F.filter(values, lambda x: (F.length(x["value"]) >= 20) & (log_ratio(x["value"], model) >= min_ratio))
+        return F.transform(long, lambda x: F.struct(x["start"].alias("start"), (x["start"] + F.length(x["value"])).alias("end"), x["value"].alias("value")))
+
+    return once(_chars(run["value"]), report)
 
 
 def _kind(found: Column, kind: str) -> Column:
@@ -147,7 +174,7 @@ def scan_secrets(docs: DataFrame, *, model: list[float] | None = None, min_ratio
     ``labelled_samples``.
 
     A pure projection: no shuffle, and every row for itself, so ties and repeated rows need no
-    care.  Null and empty texts have no spans.  Other columns are not read.
+    care.  Time grows with n log n of a text's matches.  Null and empty texts have no spans.  Other columns are not read.
     """
     if model is None:
         model = train_markov(labelled_samples(docs.sparkSession))
@@ -160,9 +187,14 @@ def scan_secrets(docs: DataFrame, *, model: list[float] | None = None, min_ratio
         matches(F.col("text"), HEX).alias("hex"),
         matches(F.col("text"), CANDIDATE).alias("tokens"),
     )
-    base = F.concat(_kind(F.col("assign"), "assign"), _kind(F.col("access"), "access"), _kind(F.col("hex"), "hex"))
-    rows = rows.select("*", base.alias("base"))
-    apart = lambda x: ~F.exists(F.col("base"), lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
+    base = F.array_sort(F.concat(_kind(F.col("assign"), "assign"), _kind(F.col("access"), "access"), _kind(F.col("hex"), "hex")))
+    rows = rows.withColumn("base", base)
+    rows = rows.withColumns({"starts": F.transform("base", lambda y: y["start"]), "tops": running(F.transform("base", lambda y: y["end"]), F.greatest)})
+
+    def apart(x: Column) -> Column:
+        """Whether a span meets no base span: of those that begin before its end, none ends after its start."""
+        return once(count_below(F.col("starts"), x["end"]), lambda n: F.when(n == 0, True).otherwise(F.get("tops", n - 1) <= x["start"]))
+
     inside = F.flatten(F.transform("tokens", lambda x: F.when(apart(x) & (log_ratio(x["value"], model) >= min_ratio), F.array(x)).otherwise(_stretches(x, model, min_ratio))))
     markov = F.filter(inside, apart)
     rows = rows.select("*", F.when(F.size("tokens") > 0, _kind(markov, "markov")).otherwise(F.array().cast("array<struct<start:int,rank:int,end:int>>")).alias("markov"))
