@@ -60,22 +60,62 @@ def test_nothing_to_pack_or_to_shard(spark):
     assert sharding.shard_by_bytes(none).count() == 0
 
 
-@pytest.mark.parametrize("seed", range(20))
-def test_best_fit_decreasing_takes_the_tightest_bin(seed):
+def by_item(sizes, capacity):
+    """Plain best-fit-decreasing: what is left in each bin, in the order in which they were opened, and the bin of each item."""
+    left, placed = [], []
+    for size in sorted(sizes, reverse=True):
+        fits = [(room, b) for b, room in enumerate(left) if room >= size]
+        if not fits:
+            left.append(max(capacity, size))
+        b = min(fits)[1] if fits else len(left) - 1
+        left[b] -= size
+        placed.append((size, b))
+    return left, Counter(placed)
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_classes_are_placed_like_their_items_one_by_one(seed):
     rng = random.Random(seed)
-    sizes = [int(rng.paretovariate(1.1) * 10) for _ in range(rng.randint(0, 400))]
+    sizes = [int(rng.paretovariate(1.1) * rng.choice([1, 3, 10])) for _ in range(rng.randint(0, 400))]
     capacity = rng.randint(20, 500)
-    placed, n = sharding.best_fit_decreasing(sizes, capacity)
-    left: dict[int, int] = {}
-    for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
-        fits = [x for x in left.values() if x >= sizes[i]]
-        if fits:
-            assert left[placed[i]] == min(fits)
-        else:
-            assert placed[i] not in left
-            left[placed[i]] = max(capacity, sizes[i])
-        left[placed[i]] -= sizes[i]
-    assert len(left) == n
+    classes = list(Counter(sizes).items())
+    rng.shuffle(classes)
+    runs, n = sharding.best_fit_decreasing(classes, capacity)
+    left, placed = by_item(sizes, capacity)
+    got = Counter()
+    for k, b, many in runs:
+        got[classes[k][0], b] += many
+    assert (n, got) == (len(left), placed)
+
+
+def test_more_groups_than_lots_ever_held():
+    rng = random.Random(3)
+    sizes = [int(rng.lognormvariate(7, 1)) + 1 for _ in range(100_000)]
+    classes = list(Counter(sizes).items())
+    runs = sharding.pack_into(classes, 16)
+    capacity, held, many = Counter(), Counter(), Counter()
+    for k, b, n in runs:
+        capacity[b] += n * classes[k][0]
+        many[k] += n
+        held[classes[k][0], b] += n
+    assert [many[k] for k in range(len(classes))] == [n for _, n in classes]
+    assert max(capacity.values()) - min(capacity.values()) <= 0.001 * max(capacity.values())
+    # The same bins as those of the 100,000 items one by one, at the capacity that was found.
+    low = max(capacity.values())
+    assert by_item_in_few_bins(sizes, low, 16) == held
+
+
+def by_item_in_few_bins(sizes, capacity, shards):
+    left, out = [], Counter()
+    for size in sorted(sizes, reverse=True):
+        fits = [(room, b) for b, room in enumerate(left) if room >= size]
+        if not fits:
+            left.append(capacity)
+        b = min(fits)[1] if fits else len(left) - 1
+        left[b] -= size
+        out[size, b] += 1
+    assert len(left) <= shards
+    return out
 
 
 def test_free_space_with_many_bins():
@@ -91,10 +131,7 @@ def test_free_space_with_many_bins():
                 plain.remove(want)
 
 
-@pytest.mark.parametrize("lots", [1 << 16, 8])
-def test_shards_keep_equal_texts_and_near_equal_bytes(spark, lots):
-    rows = documents(7, 400)
-    got = sharding.shard_by_bytes(spark.createDataFrame(rows, SCHEMA), shards=4, lots=lots).collect()
+def checked_shards(rows, got, shards):
     text = {r[0]: (r[1] or "").encode() for r in rows}
     size, slots, where = Counter(), defaultdict(list), defaultdict(set)
     for r in got:
@@ -105,7 +142,37 @@ def test_shards_keep_equal_texts_and_near_equal_bytes(spark, lots):
     assert len(got) == len(rows)
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert max(map(len, where.values())) == 1
-    largest = max(sum(len(t) + 1 for i, t in text.items() if t == g) for g in where)
-    if lots > 8:
-        rest = sorted(size.values())[:-1] if largest > sum(size.values()) / 4 else sorted(size.values())
-        assert rest[-1] - rest[0] <= 0.02 * rest[-1]
+    groups = Counter()
+    for r in rows:
+        groups[text[r[0]]] += len(text[r[0]]) + 1
+    assert set(size) <= set(range(shards))
+    return size, groups, {t: next(iter(s)) for t, s in where.items()}
+
+
+def test_shards_keep_equal_texts_and_near_equal_bytes(spark):
+    rows = documents(7, 400)
+    rows += [(7000 + k, f"same length {k:04d}", "en", "s", 0, 0, "", 0, "") for k in range(3000)]  # a class that is split
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = sharding.shard_by_bytes(df, shards=4).collect()
+    size, groups, where = checked_shards(rows, got, 4)
+    # The shards hold what plain best-fit-decreasing over the groups puts there.
+    runs = sharding.pack_into(sorted(Counter(groups.values()).items(), reverse=True), 4)
+    classes = sorted(Counter(groups.values()).items(), reverse=True)
+    want = Counter()
+    for k, shard, n in runs:
+        want[classes[k][0], shard] += n
+    assert Counter((groups[t], s) for t, s in where.items()) == want
+    largest = max(groups.values())
+    rest = sorted(size.values())[:-1] if largest > sum(size.values()) / 4 else sorted(size.values())
+    assert rest[-1] - rest[0] <= 0.001 * rest[-1]
+    again = sharding.shard_by_bytes(df.repartition(7), shards=4).collect()
+    assert sorted(map(tuple, again), key=str) == sorted(map(tuple, got), key=str)
+
+
+def test_bins_do_not_depend_on_partitions(spark):
+    rows = documents(6, 300) + [(5000 + k, "same words", "en", "hot", 0, 0, "", 0, "") for k in range(20)]
+    rows += [rows[-1]] * 2500
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = [sorted(map(str, packing.pack_documents(packing.word_counts(df.coalesce(1) if n == 1 else df.repartition(n)), capacity=128, lot_pieces=400).collect())) for n in (1, 7)]
+    assert got[0] == got[1]
+    assert len(got[0]) >= len(rows)

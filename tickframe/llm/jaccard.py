@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import LOWER, WordHashes, mix, slices, stash, texts, without
+from .shared import LOWER, MOST_SENT, WordHashes, mix, slices, stash, texts, without
 
 _U = np.uint64
 #: Buckets of more members are hot: a set leaves them while its other parts suffice (see ``cold_buckets``).
@@ -22,8 +22,6 @@ HOT_MEMBERS = 32
 BLOCK_ROWS = 256
 #: Rows of compared blocks that go to one task's call together.
 CALL_ROWS = 20_000
-#: Ids that go to the executors at once to pick rows; more are joined by shuffling.
-MOST_IDS = 4_000_000
 
 
 class Bands:
@@ -340,7 +338,7 @@ def _cross_pairs(members: DataFrame, drawn: DataFrame, num: int, den: int) -> Da
 def _texts_of(docs: DataFrame, sets: DataFrame, reps: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """A text (``text``) for each set in ``sets`` (``h``), that of its smallest id; few ids are sent to the executors."""
     ids = stash(sets.distinct().join(reps, "h").select("rep").distinct(), "picked")
-    few = F.broadcast(ids) if ids.count() <= MOST_IDS else ids
+    few = F.broadcast(ids) if ids.count() <= MOST_SENT else ids
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(few, F.col("id") == F.col("rep"), "left_semi")
 
 

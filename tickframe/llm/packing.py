@@ -9,10 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..code import share_code
 from .shared import slices, stash, texts
 
-#: Pieces of one lot, about; lots are packed independently.
-LOT_PIECES = 20_000
+#: Pieces of one lot, about; the pieces of a lot are packed in one call.
+LOT_PIECES = 50_000
+#: Equal rows that go to one lot together.
+TIES = 1000
+#: Bins filled to less than this share give their pieces to a second round.
+FULL = 0.97
 
 
 class Bins:
@@ -102,57 +107,88 @@ def word_counts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), pa.array(n, pa.int64()), b.column("cluster")], names=["doc_id", "source", "n_tokens", "cluster"])
 
     kind = dict(docs.dtypes)[id_col]
+    share_code(docs.sparkSession)
     given = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("cluster"))
     return given.mapInArrow(run, f"doc_id {kind}, source string, n_tokens long, cluster long")
 
 
+def _dealt(lengths: DataFrame, copies: str, lot_pieces: int, salt: int) -> tuple[DataFrame, int]:
+    """The rows with a lot for each, by a hash of their values, and the number of lots.
+
+    Equal rows are counted, not told apart: ``TIES`` of them at a time go to a lot, so that a row
+    repeated a million times is spread and the lots do not depend on the layout of the table.
+    """
+    keys = ["doc_id", "source", "n_tokens", "cluster"]
+    met = stash(lengths.groupBy(*keys).agg(F.sum(copies).alias("copies")), "lengths")
+    lots = max(1, -(-(met.agg(F.sum("copies")).first()[0] or 0) // lot_pieces))
+    cut = met.withColumn("tie", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / TIES))))
+    cut = cut.withColumn("copies", F.least(F.lit(TIES), F.col("copies") - F.col("tie") * TIES))
+    return cut.withColumn("lot", F.pmod(F.xxhash64(F.lit(salt), *keys, "tie"), F.lit(lots)).cast("int")), lots
+
+
+def _pack(t: pa.Table, capacity: int, first_lot: int, tails_only: bool) -> pa.Table:
+    """The places of a lot's pieces, in their order by value, with ``closed``: whether the piece's bin is full.
+
+    With ``tails_only`` the rows stand for the last pieces of their documents alone.
+    """
+    t = t.sort_by([(c, "ascending") for c in ("n_tokens", "doc_id", "source", "cluster", "tie")])
+    ids, sources, sizes, clusters = ([x for x, n in zip(t.column(c).to_pylist(), t.column("copies").to_pylist(), strict=True) for _ in range(n)] for c in ("doc_id", "source", "n_tokens", "cluster"))
+    often = {c for c, n in Counter(clusters).items() if n > 1 and c is not None}
+    numbers: dict = {}
+    rest = [k for k, n in enumerate(sizes) if n % capacity]
+    items = [(sizes[k] % capacity, [numbers.setdefault(x, len(numbers)) for x in [("source", sources[k])] + [("cluster", clusters[k])] * (clusters[k] in often)]) for k in rest]
+    bins = pack_lot(items, capacity)
+    fill = Counter()
+    for (size, _), b in zip(items, bins, strict=True):
+        fill[b] += size
+    bin_of, used, offsets, out = dict(zip(rest, bins, strict=True)), max(bins, default=-1) + 1, Counter(), []
+    for k, n in enumerate(sizes):
+        row = (ids[k], sources[k], n, clusters[k])
+        if not tails_only:
+            if not n:
+                out.append((*row, 0, 0, 0, None, None, True))
+            for piece in range(n // capacity):
+                out.append((*row, piece, piece * capacity, capacity, used, 0, True))
+                used += 1
+        if k in bin_of:
+            b = bin_of[k]
+            out.append((*row, n // capacity, n - n % capacity, n % capacity, b, offsets[b], fill[b] >= FULL * capacity))
+            offsets[b] += n % capacity
+    kinds = [t.schema.field("doc_id").type, pa.string(), pa.int64(), pa.int64(), *[pa.int64()] * 5, pa.bool_()]
+    names = ["doc_id", "source", "n_tokens", "cluster", "piece", "start", "length", "bin", "offset", "closed"]
+    told = pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+    return told.append_column("lot", pa.array([first_lot + t.column("lot")[0].as_py()] * len(out), pa.int32()))
+
+
 def pack_documents(lengths: DataFrame, *, capacity: int = 2048, lot_pieces: int = LOT_PIECES) -> DataFrame:
     """``doc_id, piece, start, length, lot, bin, offset``: where each piece of each document goes.
 
     ``lengths`` has ``doc_id, source, n_tokens, cluster``.  A document of more than ``capacity``
     tokens is cut into full pieces, which fill bins of their own, and a last one.  Pieces of less
     than ``capacity`` are packed best-fit by falling size; no bin holds two of one source or of
-    one duplicate cluster.  ``bin`` counts within ``lot``; ``offset`` is where the piece begins in
+    one duplicate cluster.  ``bin`` names a bin within ``lot``; ``offset`` is where the piece begins in
     its bin.
 
-    Rows are dealt to lots of about ``lot_pieces`` by a hash of id and row number, whatever their
-    source or cluster, so no key makes a large lot; a lot is packed in one call and costs at
-    most some bins that another lot could have filled up.  Only ids, lengths and keys are
-    shuffled.
+    Rows are dealt to lots of about ``lot_pieces`` by a hash of their values, whatever their
+    source or cluster, so no key makes a large lot; a lot is packed in one call.  Pieces in bins
+    that a lot left less than ``FULL`` are dealt to lots once more, by another hash, and packed
+    with those of other lots.  Lots and bins depend on the rows alone, not on their order or
+    partitions.  Only ids, lengths and keys are shuffled.
 
     Documents without tokens (also null lengths) take no room: bin and offset are null.  A null
     source is a source; a null cluster conflicts with nothing.  Repeated rows are packed as
     often as they stand there.
     """
-    given = lengths.select("doc_id", "source", F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"), "cluster")
-    rows = stash(given.withColumn("row", F.monotonically_increasing_id()), "lengths")
-    lots = max(1, -(-rows.count() // lot_pieces))
-    lot = F.pmod(F.xxhash64("doc_id", "row"), F.lit(lots)).cast("int")
-
-    def pack(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("doc_id", "ascending"), ("row", "ascending")])
-        ids, sources, sizes, clusters = (t.column(c).to_pylist() for c in ("doc_id", "source", "n_tokens", "cluster"))
-        often = {c for c, n in Counter(clusters).items() if n > 1 and c is not None}
-        numbers: dict = {}
-        rest = [k for k, n in enumerate(sizes) if n % capacity]
-        items = [(sizes[k] % capacity, [numbers.setdefault(x, len(numbers)) for x in [("source", sources[k])] + [("cluster", clusters[k])] * (clusters[k] in often)]) for k in rest]
-        bins = pack_lot(items, capacity)
-        bin_of, used, offsets = dict(zip(rest, bins, strict=True)), max(bins, default=-1) + 1, Counter()
-        out = []
-        for k, n in enumerate(sizes):
-            if not n:
-                out.append((ids[k], 0, 0, 0, None, None))
-            for piece in range(n // capacity):
-                out.append((ids[k], piece, piece * capacity, capacity, used, 0))
-                used += 1
-            if k in bin_of:
-                b = bin_of[k]
-                out.append((ids[k], n // capacity, n - n % capacity, n % capacity, b, offsets[b]))
-                offsets[b] += n % capacity
-        cols = list(zip(*out, strict=True))
-        kinds = [t.schema.field("doc_id").type, *[pa.int64()] * 5]
-        arrays = [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]
-        return pa.Table.from_arrays([*arrays[:4], pa.array([t.column("lot")[0].as_py()] * len(out), pa.int32()), *arrays[4:]], names=["doc_id", "piece", "start", "length", "lot", "bin", "offset"])
-
-    kind = dict(rows.dtypes)["doc_id"]
-    return rows.withColumn("lot", lot).groupBy("lot").applyInArrow(pack, f"doc_id {kind}, piece long, start long, length long, lot int, bin long, offset long")
+    given = lengths.select("doc_id", "source", F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"), "cluster", F.lit(1).cast("long").alias("one"))
+    share_code(lengths.sparkSession)
+    schema = f"doc_id {dict(given.dtypes)['doc_id']}, source string, n_tokens long, cluster long, piece long, start long, length long, bin long, offset long, closed boolean, lot int"
+
+    def packed(rows: DataFrame, first_lot: int, tails_only: bool) -> DataFrame:
+        return rows.groupBy("lot").applyInArrow(lambda t: _pack(t, capacity, first_lot, tails_only), schema)
+
+    rows, lots = _dealt(given, "one", lot_pieces, 0)
+    first = stash(packed(rows, 0, False), "first")
+    left, _ = _dealt(first.where(~F.col("closed")).withColumn("one", F.lit(1).cast("long")), "one", lot_pieces, 1)
+    # With one lot the pieces have met already, and would only be packed without those in full bins.
+    out = first.where("closed").unionByName(packed(left, lots, True)) if lots > 1 else first
+    return out.select("doc_id", "piece", "start", "length", "lot", "bin", "offset")

@@ -2,86 +2,137 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
-
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import stash
+from .shared import MOST_SENT, stash
 
-#: Small groups are dealt to so many lots, each placed as one item; larger groups are placed by themselves.
-LOTS = 1 << 16
-#: Parts of a shard in which rows are numbered independently.
-SLOT_PARTS = 256
+#: Parts of a shard, and of a class of groups of equal size, in which rows are numbered independently.
+PARTS = 256
 
 
 class FreeSpace:
-    """Open bins ordered by free space in a balanced tree of blocks: insert, remove and the tightest fit in O(sqrt n)."""
-
-    BLOCK = 512
+    """Open bins ordered by (free space, number) in an AVL tree: insert, and remove the tightest fit, in O(log n)."""
 
     def __init__(self) -> None:
-        self.blocks: list[list[tuple[int, int]]] = []
+        self.root: list | None = None  # [key, left, right, height]
+
+    @staticmethod
+    def _height(node: list | None) -> int:
+        return node[3] if node else 0
+
+    @classmethod
+    def _settled(cls, node: list) -> list:
+        """The balanced tree of a node whose subtrees are balanced and differ by two levels at most."""
+        lean = cls._height(node[1]) - cls._height(node[2])
+        if abs(lean) > 1:
+            heavy, light = (1, 2) if lean > 0 else (2, 1)
+            child = node[heavy]
+            if cls._height(child[light]) > cls._height(child[heavy]):
+                node[heavy] = cls._turned(child, light, heavy)
+            return cls._turned(node, heavy, light)
+        node[3] = 1 + max(cls._height(node[1]), cls._height(node[2]))
+        return node
+
+    @classmethod
+    def _turned(cls, node: list, up: int, down: int) -> list:
+        """The child on side ``up`` takes the node's place."""
+        top = node[up]
+        node[up], top[down] = top[down], node
+        for n in (node, top):
+            n[3] = 1 + max(cls._height(n[1]), cls._height(n[2]))
+        return top
 
     def add(self, free: int, bin_no: int) -> None:
-        if not self.blocks:
-            self.blocks.append([])
-        k = min(bisect_left([b[-1] for b in self.blocks if b], (free, bin_no)), len(self.blocks) - 1)
-        insort(self.blocks[k], (free, bin_no))
-        if len(self.blocks[k]) > 2 * self.BLOCK:
-            b = self.blocks[k]
-            self.blocks[k : k + 1] = [b[: self.BLOCK], b[self.BLOCK :]]
+        def put(node: list | None) -> list:
+            if node is None:
+                return [(free, bin_no), None, None, 1]
+            side = 1 if (free, bin_no) < node[0] else 2
+            node[side] = put(node[side])
+            return self._settled(node)
+
+        self.root = put(self.root)
 
     def take_tightest(self, size: int) -> tuple[int, int] | None:
         """Remove and return the (free, bin) with the least free space that is ``size`` or more."""
-        k = bisect_left([b[-1] for b in self.blocks], (size, -1))
-        if k == len(self.blocks):
-            return None
-        b = self.blocks[k]
-        found = b.pop(bisect_left(b, (size, -1)))
-        if not b:
-            del self.blocks[k]
+        node, found = self.root, None
+        while node:
+            if node[0] >= (size, -1):
+                found, node = node[0], node[1]
+            else:
+                node = node[2]
+        if found:
+            self.root = self._without(self.root, found)
         return found
 
+    def _without(self, node: list, key: tuple[int, int]) -> list | None:
+        if key != node[0]:
+            side = 1 if key < node[0] else 2
+            node[side] = self._without(node[side], key)
+        elif node[1] is None or node[2] is None:
+            return node[1] or node[2]
+        else:
+            after = node[2]
+            while after[1]:
+                after = after[1]
+            node[0] = after[0]
+            node[2] = self._without(node[2], after[0])
+        return self._settled(node)
+
+
+Runs = list[tuple[int, int, int]]
 
-def best_fit_decreasing(sizes: list[int], capacity: int, most: int | None = None) -> tuple[list[int], int]:
-    """The bin of each item and the number of bins; items go in by falling size, ties in the given order.
 
-    It stops short when it needs more than ``most`` bins.  Each item enters the bin with the tightest remaining capacity that holds it, or a new one; an
-    item above ``capacity`` has a bin of its own.
+def best_fit_decreasing(classes: list[tuple[int, int]], capacity: int, most: int | None = None) -> tuple[Runs, int]:
+    """Best-fit-decreasing over classes of equal items (size, how many): runs of (class, bin, how many), and the number of bins.
+
+    Items go in by falling size; each enters the bin with the tightest remaining capacity that
+    holds it, or a new one; an item above ``capacity`` has a bin of its own.  Once one of a
+    class has entered a bin, that bin is still the tightest for the next, until it is too full;
+    so a class takes one step for each bin it enters, and the bins are those of item-by-item
+    placement.  It stops short when it needs more than ``most`` bins.
     """
-    out, bins, free = [0] * len(sizes), 0, FreeSpace()
-    for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
-        found = free.take_tightest(sizes[i])
-        if found is None:
-            found = (max(capacity, sizes[i]), bins)
-            bins += 1
-            if most and bins > most:
-                break
-        left, out[i] = found[0] - sizes[i], found[1]
-        if left:
-            free.add(left, found[1])
+    out, bins, free = [], 0, FreeSpace()
+    for k in sorted(range(len(classes)), key=lambda k: -classes[k][0]):
+        size, left = classes[k]
+        while left:
+            found = free.take_tightest(size)
+            if found is None:
+                found = (max(capacity, size), bins)
+                bins += 1
+                if most and bins > most:
+                    return out, bins
+            n = min(left, found[0] // size)
+            out.append((k, found[1], n))
+            left -= n
+            if found[0] > n * size:
+                free.add(found[0] - n * size, found[1])
     return out, bins
 
 
-def pack_into(sizes: list[int], shards: int) -> list[int]:
-    """A shard for each item: best-fit-decreasing at the smallest capacity found that needs no more than ``shards`` bins.
+def pack_into(classes: list[tuple[int, int]], shards: int) -> Runs:
+    """Runs (class, shard, how many): best-fit-decreasing at the smallest capacity found that needs no more than ``shards`` bins.
 
     Items above an even share have shards of their own first, as no capacity that holds them
     would make the others even.
     """
-    order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
-    out, alone, total = [0] * len(sizes), 0, sum(sizes)
-    while alone < min(shards - 1, len(order)) and sizes[order[alone]] * (shards - alone) > total:
-        out[order[alone]] = alone
-        total -= sizes[order[alone]]
-        alone += 1
-    rest, room = order[alone:], shards - alone
+    order = sorted(range(len(classes)), key=lambda k: -classes[k][0])
+    left, total, items = [n for _, n in classes], sum(s * n for s, n in classes), sum(n for _, n in classes)
+    out: Runs = []
+    for k in order:
+        while left[k] and len(out) < min(shards - 1, items) and classes[k][0] * (shards - len(out)) > total:
+            out.append((k, len(out), 1))
+            left[k] -= 1
+            total -= classes[k][0]
+        if left[k]:
+            break
+    alone, rest = len(out), [k for k in order if left[k]]
     if not rest:
         return out
-    own = [sizes[i] for i in rest]
-    low, high = max(-(-total // room), own[0]), max(-(-total // room), own[0]) * 2
+    own, room = [(classes[k][0], left[k]) for k in rest], shards - alone
+    low, high = max(-(-total // room), own[0][0]), max(-(-total // room), own[0][0]) * 2
     best = best_fit_decreasing(own, high, room)
     while best[1] > room:
         low, high = high, high * 2
@@ -93,53 +144,62 @@ def pack_into(sizes: list[int], shards: int) -> list[int]:
             best, high = tried, mid
         else:
             low = mid + 1
-    for i, b in zip(rest, best[0], strict=True):
-        out[i] = alone + b
-    return out
+    return out + [(rest[k], alone + b, n) for k, b, n in best[0]]
+
+
+def _numbered(rows: DataFrame, by: str, part: str, order: list[str]) -> DataFrame:
+    """``rows`` with ``nth``, gapless from 0 within ``by``: parts are numbered by themselves and laid end to end."""
+    counts = rows.groupBy(by, part).agg(F.count("*").alias("n"))
+    before = Window.partitionBy(by).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(by, part, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    within = Window.partitionBy(by, part).orderBy(*order)
+    told = rows.withColumn("own", F.row_number().over(within)).join(stash(starts, "starts"), [by, part])
+    return told.withColumn("nth", F.col("first") + F.col("own") - 1).drop("first", "own")
 
 
-def shard_by_bytes(docs: DataFrame, *, shards: int = 16, lots: int = LOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard_by_bytes(docs: DataFrame, *, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, size, text_crc32, law, shard, slot, grown_shard``: shards of near equal bytes that keep equal texts together.
 
     ``size`` is the text's UTF-8 bytes plus 1.  Documents with equal texts are one indivisible
-    group (by 128 bits of hash).  Groups of more than ``total / lots`` bytes - fewer than
-    ``lots`` of them, at any input size - are items by themselves; smaller ones are dealt by
-    hash to ``lots`` lots, each of which is an item.  So the driver packs at most ``2 * lots``
-    items, in whichever size the table comes.  ``pack_into`` places them; a shard exceeds
-    another by about a lot, unless one group alone is larger than an even share.
+    group (by 128 bits of hash), whose size is their sum.  Groups of one size are alike, so
+    ``pack_into`` places classes of them: distinct sizes with their counts, which are fewer than
+    the square root of twice all bytes (14 million for 100 TB, 16 bytes each, and far fewer in
+    practice), however many groups there are.  The runs of a class go to its groups in the
+    order of their hashes.  A shard exceeds another by little more than the smallest groups,
+    unless one group alone is larger than an even share.
 
-    ``slot`` numbers the rows of a shard without gaps: rows are numbered inside ``SLOT_PARTS``
-    parts (by hash of id and row, so a hot group is spread) and parts are laid end to end.
+    ``slot`` numbers the rows of a shard without gaps, in ``PARTS`` parts (by hash of the row's
+    values, so that a hot group is spread) which are laid end to end.  Neither shards nor slots
+    depend on how the table is laid out in files.
 
     Null texts are empty; repeated rows are documents of the same group and have slots of their
     own.  Other columns are not read.
     """
+    spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(
-        F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"),
-        F.monotonically_increasing_id().alias("row"),
-    )
+    rows = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"))
     rows = stash(rows, "sizes")
-    total = rows.agg(F.sum("size")).first()[0] or 0
     groups = stash(rows.groupBy("h1", "h2").agg(F.sum("size").alias("bytes")), "groups")
-    lot = F.pmod("h2", F.lit(lots))
-    large = groups.where(F.col("bytes") * lots > total).select("h1", "h2", "bytes").orderBy(F.desc("bytes"), "h1", "h2").collect()
-    small = groups.where(F.col("bytes") * lots <= total).groupBy(lot.alias("lot")).agg(F.sum("bytes").alias("bytes")).orderBy("lot").collect()
-    placed = pack_into([r["bytes"] for r in large] + [r["bytes"] for r in small], shards)
-
-    spark = docs.sparkSession
-    own = spark.createDataFrame([(r["h1"], r["h2"], s) for r, s in zip(large, placed, strict=False)], "h1 long, h2 long, own int")
-    by_lot = np.zeros(lots, np.int32)
-    for r, s in zip(small, placed[len(large) :], strict=True):
-        by_lot[r["lot"]] = s
-    of_lot = spark.createDataFrame([(k, int(s)) for k, s in enumerate(by_lot)], "lot long, common int")
-    rows = rows.join(F.broadcast(own), ["h1", "h2"], "left").join(F.broadcast(of_lot), lot == F.col("lot"), "left")
-    rows = rows.select("doc_id", "size", "text_crc32", F.coalesce("own", "common").alias("shard"), F.pmod(F.xxhash64("doc_id", "row"), F.lit(SLOT_PARTS)).alias("part"))
-    rows = stash(rows, "placed")
-    counts = rows.groupBy("shard", "part").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    within = Window.partitionBy("shard", "part").orderBy("doc_id", "text_crc32", "size")
-    numbered = rows.withColumn("nth", F.row_number().over(within)).join(F.broadcast(starts), ["shard", "part"])
-    slot = (F.col("first") + F.col("nth") - 1).cast("long")
-    return numbered.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", slot.alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    told = groups.groupBy("bytes").agg(F.count("*").alias("n")).toArrow().sort_by([("bytes", "descending")])
+    sizes = told.column("bytes").to_pylist()
+    runs = pack_into(list(zip(sizes, told.column("n").to_pylist(), strict=True)), shards)
+
+    of_class: list[list[tuple[int, int]]] = [[] for _ in sizes]
+    for k, shard, n in runs:
+        of_class[k].append((n, shard))
+    until = [np.cumsum([n for n, _ in x]).tolist() for x in of_class]
+    plan = pa.table({"bytes": pa.array(sizes, pa.int64()), "until": pa.array(until, pa.list_(pa.int64())), "shards": pa.array([[s for _, s in x] for x in of_class], pa.list_(pa.int32()))})
+    plan = stash(spark.createDataFrame(plan), "plan")
+    near = F.broadcast if len(sizes) <= MOST_SENT else lambda df: df
+
+    placed = groups.join(near(plan), "bytes")
+    whole = placed.where(F.size("shards") == 1).select("h1", "h2", F.col("shards")[0].alias("shard"))
+    # Only classes that are split between shards need to number their groups.
+    split = placed.where(F.size("shards") > 1).withColumn("part", F.pmod("h2", F.lit(PARTS)))
+    shard = F.element_at("shards", F.size(F.filter("until", lambda u: u <= F.col("nth"))) + 1)
+    dealt = _numbered(split, "bytes", "part", ["h1", "h2"]).select("h1", "h2", shard.alias("shard"))
+    # Written, so that both sides of the join are plain exchanges and a hot group can be split.
+    rows = rows.join(stash(whole.union(dealt), "dealt"), ["h1", "h2"])
+    rows = stash(rows.select("doc_id", "size", "text_crc32", "shard", F.pmod(F.xxhash64("doc_id", "h2"), F.lit(PARTS)).alias("part")), "placed")
+    numbered = _numbered(rows, "shard", "part", ["doc_id", "text_crc32", "size"])
+    return numbered.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("nth").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

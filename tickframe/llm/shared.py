@@ -8,6 +8,7 @@ both word definitions used here are single C calls over a whole text.
 from __future__ import annotations
 
 import atexit
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -24,14 +25,23 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Lower-cases A-Z and turns all but ``[0-9a-z]`` and non-ASCII bytes into blanks.
 ALNUM = bytes(LOWER[c] if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
+#: Small rows that go to the executors at once; a row of an id or a digest takes up to 128 bytes there, so these are 64 MB at most.
+MOST_SENT = (64 << 20) // 128
+
 _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, set here only where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session, whose executors are the driver, gets a folder of this
+    machine; a cluster must name one.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "/tmp/checkpoints/tickframe"
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = f"{tempfile.gettempdir()}/checkpoints/tickframe"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
@@ -44,21 +54,36 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def stash(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: cuts the lineage and survives lost executors."""
+    """Write ``df`` as a table in the shared folder and read it back: cuts the lineage and survives lost executors.
+
+    ``forget`` deletes the table before the driver ends.
+    """
     spark = df.sparkSession
     share_code(spark)
     path = scratch_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tickframe_path = path
+    return out
+
+
+def forget(*stashed: DataFrame) -> None:
+    """Delete stashed tables all of whose readers have been written themselves."""
+    for df in stashed:
+        _delete(df.sparkSession, df._tickframe_path)
+        _written.remove((df.sparkSession, df._tickframe_path))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 @atexit.register
 def _clean() -> None:
     for spark, path in _written:
         try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(spark, path)
         except Exception:  # the JVM may be gone already; the folder is scratch space
             return
 
@@ -109,12 +134,26 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", broadcast_ids: int = 4_000_000) -> DataFrame:
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores more as make it differ from all columns of ``df``."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
+def quoted(name: str) -> str:
+    """A column's name for ``F.col``, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", most_sent: int = MOST_SENT) -> DataFrame:
     """``docs`` without the rows whose id stands in the one column of ``ids``.
 
-    ``ids`` is written first and counted: up to ``broadcast_ids`` of them go to the executors
+    ``ids`` is written first and counted: up to ``most_sent`` of them go to the executors
     (64 MB at most), more are joined by shuffling.
     """
-    ids = stash(ids.toDF("__dropped").distinct(), "dropped")
-    few = F.broadcast(ids) if ids.count() <= broadcast_ids else ids
-    return docs.join(few, F.col(id_col) == F.col("__dropped"), "left_anti")
+    own = fresh(docs, "dropped")
+    ids = stash(ids.toDF(own).distinct(), "dropped")
+    few = F.broadcast(ids) if ids.count() <= most_sent else ids
+    return docs.join(few, F.col(quoted(id_col)) == F.col(own), "left_anti")

@@ -12,10 +12,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import slices, stash
+from ..code import share_code
+from .shared import MOST_SENT, quoted, slices, stash
 
-#: Ids that go to the executors at once to pick rows (16 bytes each); more are joined by shuffling.
-MOST_IDS = 4_000_000
+#: Ids that go to the executors at once to pick rows; more are joined by shuffling.
+MOST_IDS = MOST_SENT
 #: Words whose counts a worker remembers.
 MOST_WORDS = 1_200_000
 CACHE_SCHEMA = "d1 long, d2 long, tokenizer string, n_tokens long"
@@ -105,7 +106,8 @@ def count_tokens(docs: DataFrame, *, tokenizer_path: str, cache_path: str, id_co
     """
     spark = docs.sparkSession
     version = tokenizer_version(tokenizer_path)
-    given = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    share_code(spark)
+    given = docs.select(F.col(quoted(id_col)).alias("doc_id"), F.coalesce(F.col(quoted(text_col)), F.lit("")).alias("text"))
     digest = {"d1": F.xxhash64("text"), "d2": F.xxhash64(F.lit(1), "text")}
     rows = stash(given.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), *(v.alias(k) for k, v in digest.items())), "digests")
     lacking = rows.groupBy("d1", "d2").agg(F.min("doc_id").alias("at")).join(_read_cache(spark, cache_path, version), ["d1", "d2"], "left_anti")
