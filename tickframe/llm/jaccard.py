@@ -13,11 +13,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import LOWER, MOST_SENT, WordHashes, mix, slices, stash, texts, without
+from ..code import share_code
+from .shared import LOWER, MOST_SENT, WordHashes, forget, mix, quoted, slices, stash, texts, without
 
 _U = np.uint64
-#: Buckets of more members are hot: a set leaves them while its other parts suffice (see ``cold_buckets``).
-HOT_MEMBERS = 32
+#: Bits of one segment of a sketch: so many that unrelated sets of a large corpus seldom have equal ones.
+SEGMENT_BITS = 32
 #: Rows of one block of a bucket; larger buckets are compared block by block.
 BLOCK_ROWS = 256
 #: Rows of compared blocks that go to one task's call together.
@@ -29,8 +30,8 @@ class Bands:
 
     Band ``k`` holds the sizes from ``edge[k]`` to below ``edge[k + 1]``, and no set links with
     one more than a band away.  Scheme ``k`` serves the pairs whose larger set is in band ``k``:
-    two such sets differ by ``limit(k)`` shingles at most, so of ``parts(k)`` parts of the hash
-    range, each shingle being in one, at least ``1 + spare(k)`` hold the same shingles in both.
+    two such sets differ by ``limit(k)`` shingles at most, and so do their sketches in bits; so
+    of ``parts(k)`` segments of the sketch, all but ``limit(k)`` are equal.
     """
 
     def __init__(self, num: int, den: int):
@@ -49,14 +50,12 @@ class Bands:
         most = self.edges[k + 1] - 1
         return math.floor(2 * most * (1 - self.t) / (1 + self.t))
 
-    def spare(self, k: int) -> int:
-        return 2 + (self.limit(k) + 1) // 25
-
     def parts(self, k: int) -> int:
-        return self.limit(k) + 1 + self.spare(k)
+        """Twice what two sets may differ in, so that half of a set's segments may be too common to be of use (see ``buckets``)."""
+        return 2 * (self.limit(k) + 1)
 
     def bits(self, k: int) -> int:
-        """Of the whole sketch by which candidates are compared."""
+        """Of the folded sketch by which candidates are compared."""
         self.limit(k)
         return -(-self.edges[k + 1] // 64) * 64
 
@@ -88,144 +87,138 @@ def _set_hash(s: np.ndarray) -> tuple[int, int]:
     return (d >> 64) - (1 << 63), (d & (1 << 64) - 1) - (1 << 63)
 
 
-def shingle_classes(docs: DataFrame, n: int, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, h1, h2``: the size of each document's shingle set and its 128-bit hash."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHashes()
-        for b in slices(batches, "text", 4 << 20):
-            sets = _shingle_sets(texts(b.column("text")), n, memo)
-            h = [_set_hash(s) for s in sets]
-            cols = [pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in h], pa.int64()), pa.array([c for _, c in h], pa.int64())]
-            yield pa.RecordBatch.from_arrays([b.column("id"), *cols], names=["doc_id", "n_shingles", "h1", "h2"])
+def _sketch(s: np.ndarray, k: int, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of the bits that a set's shingles flip in the sketch of scheme ``k``, and the segments they lie in.
 
-    kind = dict(docs.dtypes)[id_col]
-    given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return given.mapInArrow(run, f"doc_id {kind}, n_shingles long, h1 long, h2 long")
+    The sketch has ``parts(k)`` segments of 2 ** ``SEGMENT_BITS`` bits; it is nearly empty, so it
+    is kept as these numbers.  A shingle's hash names its bit, and the segments rise with ``s``.
+    """
+    part = ((s >> _U(32)) * _U(bands.parts(k)) >> _U(32)).astype(np.int64)
+    return (part.astype(_U) << _U(SEGMENT_BITS)) | (s & _U((1 << SEGMENT_BITS) - 1)), part
 
 
-def _part_keys(s: np.ndarray, k: int, bands: Bands) -> tuple[np.ndarray, int]:
-    """The keys of a set's parts under scheme ``k``, each the XOR of the shingle hashes in its part, and the slack.
+def _segment_keys(bit: np.ndarray, part: np.ndarray, k: int, bands: Bands) -> tuple[np.ndarray, int]:
+    """Keys of a set's segments, equal for equal segments, and how many of the most common a set may do without.
 
-    Two linked sets share ``1 + spare`` parts at least, empty ones included.  The slack is how
-    many of its other parts a set may do without: ``spare`` less its empty parts, which give no
-    key.  If the slack is negative, the empty parts give keys too.
+    A key digests a segment's bits by XOR, in which a bit flipped twice cancels as it does in the
+    sketch.  Linked sets have ``parts - limit`` equal segments or more; in any order that all
+    sets share, the first ``limit + 1`` of each have one in common (prefix filter).  Empty
+    segments come last in that order and give keys only to sets that would be short of
+    ``limit + 1`` otherwise.
     """
-    if not bands.limit(k):
+    need = bands.limit(k) + 1
+    if need == 1:
         return np.zeros(0, np.int64), 0  # only equal sets could link
-    p = bands.parts(k)
-    part = ((s >> _U(32)) * _U(p) >> _U(32)).astype(np.int64)  # rises with s
     first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-    key, part = np.bitwise_xor.reduceat(mix(s), first), part[first]
-    slack = bands.spare(k) - (p - len(part))
-    if slack < 0:
-        full = np.zeros(p, _U)
-        full[part] = key
-        key, part = full, np.arange(p)
+    key, own = np.bitwise_xor.reduceat(mix(bit), first), part[first]
+    if len(own) < need:
+        free = np.setdiff1d(np.arange(bands.parts(k)), own)[: need - len(own)]
+        key, own = np.concatenate([key, np.zeros(len(free), _U)]), np.concatenate([own, free])
     with np.errstate(over="ignore"):
-        return mix(key + mix(part.astype(_U) + _U(k << 32))).view(np.int64), slack
+        return mix(key + mix(own.astype(_U) + _U(k << 32))).view(np.int64), len(own) - need
 
 
-def _parity(s: np.ndarray, bits: int) -> bytes:
-    """A sketch in which each shingle flips one bit: two sketches differ in as many bits as the sets in shingles, at most."""
-    at = (mix(s ^ _U(0xA5A5A5A5A5A5A5A5)) % _U(bits)).astype(np.int64)
+def _folded(bit: np.ndarray, bits: int) -> bytes:
+    """The sketch folded to fewer bits: two folded sketches differ in as many bits as the sets in shingles, at most."""
+    at = (mix(bit ^ _U(0xA5A5A5A5A5A5A5A5)) % _U(bits)).astype(np.int64)
     return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
-def part_keys(docs: DataFrame, n: int, num: int, den: int, *, text_col: str = "text") -> DataFrame:
-    """``key, h, up, slack``: the part keys of each distinct shingle set, ``h`` being the set's ``h1``.
+class _Seen(set):
+    """Set hashes that a task has met; it forgets all rather than grow without end, which only repeats work."""
+
+    def new(self, h: tuple[int, int]) -> bool:
+        if h in self:
+            return False
+        if len(self) >= 500_000:
+            self.clear()
+        self.add(h)
+        return True
 
-    ``up`` is 0 for the scheme of the set's own band and 1 for the next.
 
-    A task gives the keys of equal sets once, so a text copied a million times costs a row a
-    task and part.
+_SHAPE = "n_shingles long, h1 long, h2 long, band int, keys array<long>, keys_up array<long>, slack int, slack_up int, sketch binary, sketch_up binary"
+
+
+def shapes(docs: DataFrame, n: int, num: int, den: int, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All that one pass over the texts tells of each document's shingle set.
+
+    ``doc_id, n_shingles, h1, h2`` (a 128-bit hash of the set), and for a set that the task has
+    not met before: its band, the keys of its sketch's segments, how many of them it may do
+    without, and its folded sketch, for its own band's scheme and the next one's (``_up``).  A
+    text copied a million times gives these once a task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, bands, seen = WordHashes(), Bands(num, den), set()
+        memo, bands, seen = WordHashes(), Bands(num, den), _Seen()
         for b in slices(batches, "text", 4 << 20):
-            keys, owners, ups, slacks = [], [], [], []
+            rows = []
             for s in _shingle_sets(texts(b.column("text")), n, memo):
-                if not len(s):
-                    continue
                 h = _set_hash(s)
-                if h in seen:
+                if not len(s) or not seen.new(h):
+                    rows.append((len(s), *h, *[None] * 7))
                     continue
-                if len(seen) >= 1_000_000:
-                    seen.clear()
-                seen.add(h)
                 k = bands.band(len(s))
-                for up in (0, 1):
-                    mine, slack = _part_keys(s, k + up, bands)
-                    keys.append(mine)
-                    owners.append(h[0])
-                    ups.append(up)
-                    slacks.append(max(slack, -1))
-            if keys:
-                counts = list(map(len, keys))
-                each = [pa.array(np.repeat(np.array(x, t), counts)) for x, t in ((owners, np.int64), (ups, np.int8), (slacks, np.int16))]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), *each], names=["key", "h", "up", "slack"])
-
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "key long, h long, up byte, slack short")
-
-
-def cold_buckets(keys: DataFrame) -> DataFrame:
-    """``key, h, up, size``: buckets of two or more sets, without what is hot and can be spared.
-
-    A bucket of more than ``HOT_MEMBERS`` sets is hot.  Equal parts are hot or empty in both
-    sets of a pair, and a linked pair shares more parts than either's spare ones; so a set
-    whose hot parts are no more than its slack shares a cold part with every partner, and
-    leaves its hot buckets.  A passage in a third of all documents costs a few hot parts each;
-    only sets that are hot through and through stay there, and are compared block by block.
+                keys, slacks, drawn = [], [], []
+                for scheme in (k, k + 1):
+                    bit, part = _sketch(s, scheme, bands)
+                    own, slack = _segment_keys(bit, part, scheme, bands)
+                    keys.append(own)
+                    slacks.append(slack)
+                    drawn.append(_folded(bit, bands.bits(scheme)))
+                rows.append((len(s), *h, k, *keys, *slacks, *drawn))
+            cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("id"), *cols], names=names)
+
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+    names = ["doc_id", *(x.split()[0] for x in _SHAPE.split(", "))]
+    share_code(docs.sparkSession)
+    given = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"))
+    return given.mapInArrow(run, f"doc_id {given.schema[0].dataType.simpleString()}, {_SHAPE}")
+
+
+def _sent(df: DataFrame) -> DataFrame:
+    """For a written table: broadcast while it is small, else left to the planner."""
+    return F.broadcast(df) if df.count() <= MOST_SENT else df
+
+
+def buckets(shaped: DataFrame, clashes: DataFrame) -> DataFrame:
+    """``key, h, up, size``: sets (by ``h1``) that share a segment, in buckets of two or more.
+
+    Keys that one set alone has are left out first, by partial sums, then the others are counted
+    by set.  In the order of their counts, a set then leaves its ``slack`` most common segments
+    (see ``_segment_keys``): a passage in a third of all documents costs each of them a few
+    common segments, which they can spare.  Sets whose ``h1`` is not theirs alone spare none.
+
+    No key is gathered in one task: sums are partial, and joins on keys are between written
+    tables, which Spark splits where they are skewed.  A set's own segments, as many as its
+    text is long, are ordered in one task.
     """
-    of_key = Window.partitionBy("key")
-    met = keys.select("*", F.min("h").over(of_key).alias("lo"), F.max("h").over(of_key).alias("hi")).where("lo <> hi")
-    rows = stash(met.select("key", "h", "up", "slack").distinct(), "buckets")
-    sizes = rows.groupBy("key").agg(F.count("*").alias("size"))
-    sized = stash(rows.join(sizes, "key"), "buckets")
-    hot = F.col("size") > HOT_MEMBERS
-    spared = sized.groupBy("h", "up").agg(F.count_if(hot).alias("n"), F.max("slack").alias("may")).where("n > 0 and n <= may").select("h", "up", F.lit(True).alias("spared"))
-    left = sized.join(spared, ["h", "up"], "left").where(~hot | F.col("spared").isNull()).select("key", "h", "up")
-    return stash(left.join(left.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key"), "buckets")
-
-
-def _distinct_sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[list[tuple[int, np.ndarray]]]:
-    """``h1`` and shingles of the texts' sets, each set once a task."""
-    memo, seen = WordHashes(), set()
-    for b in slices(batches, "text", 4 << 20):
-        new = []
-        for s in _shingle_sets(texts(b.column("text")), n, memo):
-            h = _set_hash(s)[0]
-            if len(s) and h not in seen:
-                if len(seen) >= 1_000_000:
-                    seen.clear()
-                seen.add(h)
-                new.append((h, s))
-        yield new
+    of = lambda up, keys, slack: shaped.where(F.col(keys).isNotNull()).select(F.explode(keys).alias("key"), F.col("h1").alias("h"), F.lit(up).cast("byte").alias("up"), F.col(slack).alias("slack"))
+    keys = of(0, "keys", "slack").union(of(1, "keys_up", "slack_up"))
+    often = stash(keys.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("key"), "often")
+    rows = stash(keys.join(_sent(often), "key", "left_semi").distinct(), "met")
+    sizes = stash(rows.groupBy("key").agg(F.count("*").alias("size")), "sizes")
+    sized = rows.join(sizes, "key")
+    if clashes.head(1):
+        sized = sized.join(clashes.select(F.col("h1").alias("h"), F.lit(True).alias("shared")), "h", "left").withColumn("slack", F.when(F.col("shared"), 0).otherwise(F.col("slack")))
+    rarest = Window.partitionBy("h", "up").orderBy(F.desc("size"), F.desc("key"))
+    left = stash(sized.withColumn("nth", F.row_number().over(rarest)).where("nth > slack").select("key", "h", "up"), "left")
+    again = stash(left.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+    out = stash(left.join(again, "key"), "buckets")
+    forget(often, rows, sizes, left, again)
+    return out
 
 
 def shingle_sets(docs: DataFrame, n: int) -> DataFrame:
-    """``h, shingles`` of the sets of the given texts."""
+    """``h1, h2, shingles`` of the sets of the given texts, each once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for new in _distinct_sets(batches, n):
-            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in new], pa.int64()), pa.array([s.view(np.int64) for _, s in new], pa.list_(pa.int64()))], names=["h", "shingles"])
-
-    return docs.select("text").mapInArrow(run, "h long, shingles array<long>")
-
-
-def sketches(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """``h, n, band, sketch, sketch_up``: parity sketches of the texts' sets for their band's scheme and the next."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = Bands(num, den)
-        for new in _distinct_sets(batches, n):
-            ks = [bands.band(len(s)) for _, s in new]
-            cols = [[h for h, _ in new], [len(s) for _, s in new], ks, *([_parity(s, bands.bits(k + up)) for (_, s), k in zip(new, ks, strict=True)] for up in (0, 1))]
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["h", "n", "band", "sketch", "sketch_up"])
+        memo, seen = WordHashes(), _Seen()
+        for b in slices(batches, "text", 4 << 20):
+            new = [(h, s) for s in _shingle_sets(texts(b.column("text")), n, memo) if len(s) and seen.new(h := _set_hash(s))]
+            yield pa.RecordBatch.from_arrays([pa.array([h[0] for h, _ in new], pa.int64()), pa.array([h[1] for h, _ in new], pa.int64()), pa.array([s.view(np.int64) for _, s in new], pa.list_(pa.int64()))], names=["h1", "h2", "shingles"])
 
-    return docs.select("text").mapInArrow(run, "h long, n long, band int, sketch binary, sketch_up binary")
+    return docs.select("text").mapInArrow(run, "h1 long, h2 long, shingles array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -243,7 +236,8 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "v")
         joined = large.join(small, F.col("a") == F.col("v"))
         new = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("v", "m")).distinct()
-        now = stash(new, "edges")
+        before, now = now, stash(new, "edges")
+        forget(before)
         mark = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if mark == state:
             break
@@ -335,13 +329,6 @@ def _cross_pairs(members: DataFrame, drawn: DataFrame, num: int, den: int) -> Da
     return with_sketches.groupBy("call").applyInArrow(lambda t: _compare(t, num, den), "a long, b long").distinct()
 
 
-def _texts_of(docs: DataFrame, sets: DataFrame, reps: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """A text (``text``) for each set in ``sets`` (``h``), that of its smallest id; few ids are sent to the executors."""
-    ids = stash(sets.distinct().join(reps, "h").select("rep").distinct(), "picked")
-    few = F.broadcast(ids) if ids.count() <= MOST_SENT else ids
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(few, F.col("id") == F.col("rep"), "left_semi")
-
-
 def jaccard_groups(docs: DataFrame, *, words: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id``: groups of documents linked by shingle similarity.
 
@@ -351,47 +338,64 @@ def jaccard_groups(docs: DataFrame, *, words: int = 5, num: int = 4, den: int =
     smallest id.  No link between different sets is lost:
 
     1. Equal sets are one class from the start, so copies cost nothing further.
-    2. Sets are joined on their part keys (``Bands``): linked sets share one, and one that is
-       not hot unless both have many hot parts (``cold_buckets``).
-    3. In each bucket all members are paired with the likeliest centre; pairs that the parity
+    2. Each shingle flips one bit of a set's parity sketch.  Sketches are joined on their
+       segments, band by band: linked sets share one, and one of their less common ones
+       (``Bands``, ``buckets``).
+    3. In each bucket all members are paired with the likeliest centre; pairs that the folded
        sketches allow are verified, and give components.
-    4. Pairs of a bucket that are still in different components are compared by their sketches,
-       and verified where these allow a link; then components are final.
+    4. Pairs of a bucket that are still in different components are compared by their folded
+       sketches, and verified where these allow a link; then components are final.
 
-    Set hashes stand for sets (h1 of 128 bits for candidates).  Null and empty texts have no
+    Sets are named by 128-bit hashes; 64 of these bits go with the segments' keys, where equal
+    ones only give more candidates, and sets that meet are numbered.  Null and empty texts have no
     shingles, are linked with nothing and are components by themselves - as is each of several
     equal rows of that kind under their id.  Repeated rows are equal sets.  A row without an id
     is named by its group's smallest id; a set none of whose rows has an id is linked with
     nothing and named null.  Other columns are not read.
     """
-    classes = stash(shingle_classes(docs, words, id_col=id_col, text_col=text_col), "classes")
-    reps = classes.where("n_shingles > 0").groupBy(F.col("h1").alias("h")).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-
-    buckets = cold_buckets(part_keys(docs, words, num, den, text_col=text_col))
-    drawn = stash(sketches(_texts_of(docs, buckets.select("h"), reps, id_col, text_col), words, num, den), "sketches")
+    shaped = stash(shapes(docs, words, num, den, id_col=id_col, text_col=text_col), "shapes")
+    classes = stash(shaped.select("doc_id", "n_shingles", "h1", "h2"), "classes")
+    reps = stash(classes.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "reps")
+    clashes = stash(reps.groupBy("h1").agg(F.count("*").alias("n")).where("n > 1").select("h1"), "clashes")
+
+    met = buckets(shaped, clashes)
+    ids = stash(met.select("h").distinct(), "ids")
+    drawn = shaped.where(F.col("sketch").isNotNull()).join(_sent(ids), F.col("h1") == F.col("h"), "left_semi").dropDuplicates(["h1", "h2"])
+    numbered = stash(drawn.select("h1", "h2", F.col("n_shingles").alias("n"), "band", "sketch", "sketch_up").withColumn("h", F.monotonically_increasing_id()), "sketches")
+    drawn = numbered.drop("h1", "h2")
+    names = stash(numbered.select("h", "h1", "h2").join(reps, ["h1", "h2"]).select("h", "h1", "h2", "rep"), "names")
+    held = stash(met.withColumnRenamed("h", "h1").join(numbered.select("h", "h1"), "h1").select("key", "h", "up", "size"), "held")
 
     # The member whose buckets are fullest is the likeliest centre of a bucket.
-    weight = buckets.groupBy("h").agg(F.sum("size").alias("weight"))
-    centre = buckets.join(weight, "h").groupBy("key").agg(F.max(F.struct("weight", "h")).alias("top")).select("key", F.col("top.h").alias("a"))
-    stars = buckets.join(centre, "key").where("a <> h").select("a", F.col("h").alias("b")).distinct()
+    weight = held.groupBy("h").agg(F.sum("size").alias("weight"))
+    centre = stash(held.join(weight, "h").groupBy("key").agg(F.max(F.struct("weight", "h")).alias("top")).select("key", F.col("top.h").alias("a")), "centres")
+    stars = held.join(centre, "key").where("a <> h").select("a", F.col("h").alias("b")).distinct()
 
     def links(pairs: DataFrame) -> DataFrame:
         pairs = stash(pairs, "pairs")
-        ends = pairs.select(F.col("a").alias("h")).union(pairs.select("b"))
-        return stash(_verified(pairs, stash(shingle_sets(_texts_of(docs, ends, reps, id_col, text_col), words), "sets"), num, den), "links")
-
-    roots = components(links(_near(stars, drawn, num, den)))
-    placed = buckets.join(roots, "h", "left").withColumn("root", F.coalesce("root", "h"))
-    open_keys = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+        ends = stash(pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct().join(names, "h"), "ends")
+        picked = stash(ends.select("rep").distinct(), "picked")
+        given = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text")).join(_sent(picked), F.col("id") == F.col("rep"), "left_semi")
+        own = shingle_sets(given, words).join(ends.select("h", "h1", "h2"), ["h1", "h2"]).select("h", "shingles")
+        sets = stash(own, "sets")
+        out = stash(_verified(pairs, sets, num, den), "links")
+        forget(pairs, ends, picked, sets)
+        return out
+
+    near = links(_near(stars, drawn, num, den))
+    roots = components(near)
+    placed = stash(held.join(roots, "h", "left").withColumn("root", F.coalesce("root", "h")), "placed")
+    open_keys = stash(placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key"), "open")
     more = links(_cross_pairs(placed.join(open_keys, "key"), drawn, num, den))
-    roots = components(roots.select(F.col("h").alias("a"), F.col("root").alias("b")).union(more))
+    final = components(roots.select(F.col("h").alias("a"), F.col("root").alias("b")).union(more))
 
-    named = roots.join(reps, "h")
+    named = final.join(names, "h")
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    linked = named.join(least, "root").select("h", "component_id")
-    known = reps.join(linked, "h", "left").where("copies > 1 or component_id is not null").select("h", F.coalesce("component_id", "rep").alias("component_id"))
+    linked = named.join(least, "root").select("h1", "h2", "component_id")
+    known = reps.join(linked, ["h1", "h2"], "left").where("copies > 1 or component_id is not null").select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), F.coalesce("component_id", "rep").alias("component_id"))
     known = stash(known, "known")  # so that both sides of the join are plain exchanges and a hot class can be split
-    out = classes.join(known, (F.col("h1") == F.col("h")) & (F.col("n_shingles") > 0), "left")
+    forget(shaped, reps, clashes, met, ids, numbered, names, held, centre, near, placed, open_keys, more)
+    out = classes.join(known, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")) & (F.col("n_shingles") > 0), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
