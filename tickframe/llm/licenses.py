@@ -218,14 +218,16 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     Other columns are not read.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    small = F.lower(text)
-    gate = F.lit(False)
+    small, gate = F.col("small"), F.lit(False)
     for parts in gates():
-        gate = gate | reduce(and_, (F.contains(small, F.lit(p)) for p in parts), _any_name(small) if parts == ("under",) else F.lit(True))
+        held = reduce(and_, (F.contains(small, F.lit(p)) for p in parts))
+        gate = gate | (held & _any_name(small) if parts == ("under",) else held)
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    given = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
+    text = F.col("text")
     norm = F.concat(F.lit(" "), F.btrim(F.regexp_replace(F.translate(text, upper, lower), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "), F.lit(" ")), F.lit(" "))
-    rows = docs.select(
-        F.col(id_col).alias("doc_id"),
+    rows = given.select("doc_id", "text", F.lower("text").alias("small")).select(
+        "doc_id",
         F.regexp_count(text, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long").alias("n_words"),
         F.when(gate, norm).alias("norm"),
     )
