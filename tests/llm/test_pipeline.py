@@ -5,7 +5,7 @@ import random
 from cases import SCHEMA, documents, sentence
 from test_decontaminate import by_hand as hits_by_hand
 from test_jaccard import groups_by_hand
-from test_lines_quality import lines_by_hand, quality_by_hand
+from test_lines_quality import kept_by_hand, lines_by_hand
 
 import corpus_pipeline
 
@@ -18,7 +18,8 @@ def test_stages_equal_brute_force(spark, tmp_path):
     spark.createDataFrame(rows, SCHEMA).select(names).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
 
-    want = [r for r in rows if not quality_by_hand([r])[r[0]][5]]
+    stay, _, _ = kept_by_hand(rows)
+    want = [r for r in rows if r[0] in stay]
     kept = {i: t for i, _, _, t in lines_by_hand(want, 3)}
     want = [(r[0], kept[r[0]], *r[2:]) for r in want]
     groups = groups_by_hand(want, 5, 4, 5)

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..code import share_code
 from .shared import slices
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -31,6 +32,15 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(r"<\1|", text)
 
 
+def escape_role(role: str) -> str:
+    """A role in one line: a line break is ``\\n`` and a backslash two, before ``escape``."""
+    return escape(role.replace("\\", "\\\\").replace("\n", "\\n"))
+
+
+def unescape_role(role: str) -> str:
+    return re.sub(r"\\(.)", lambda x: "\n" if x[1] == "n" else x[1], unescape(role))
+
+
 @lru_cache(maxsize=2)
 def _tokenizer(path: str):
     from tokenizers import Tokenizer
@@ -50,10 +60,11 @@ def encode_turns(conversations: DataFrame, *, tokenizer_path: str, train_roles:
     """Each turn's segments, encoded by themselves: ``conv_id, turn, role, text, ids, head, body, trained``.
 
     ``ids`` is START, the role and a line break, the content, END and a line break; ``head`` and
-    ``body`` are the numbers of tokens before and in the content.  Roles and contents are
+    ``body`` are the numbers of tokens before and in the content.  Roles (to one line) and contents are
     escaped first, so reserved ids are the only marks in the output.
     """
     kinds = dict(conversations.dtypes)
+    share_code(conversations.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, mark = _tokenizer(tokenizer_path), reserved_ids(tokenizer_path)
@@ -63,7 +74,7 @@ def encode_turns(conversations: DataFrame, *, tokenizer_path: str, train_roles:
             roles = [x or "" for x in b.column("role").to_pylist()]
             bodies = [e.ids for e in tok.encode_batch_fast([escape(x or "") for x in b.column("text").to_pylist()], add_special_tokens=False)]
             for r in {*roles} - {*heads}:
-                heads[r] = [mark[START], *tok.encode(escape(r) + "\n", add_special_tokens=False).ids]
+                heads[r] = [mark[START], *tok.encode(escape_role(r) + "\n", add_special_tokens=False).ids]
             ids = [np.array(heads[r] + body + [mark[END], *newline], np.int32).tobytes() for r, body in zip(roles, bodies, strict=True)]
             cols = [pa.array(ids, pa.binary()), pa.array([len(heads[r]) for r in roles], pa.int32()), pa.array(list(map(len, bodies)), pa.int32()), pa.array([r in train_roles for r in roles])]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("conv_id", "turn", "role", "text")), *cols], names=["conv_id", "turn", "role", "text", "ids", "head", "body", "trained"])
@@ -137,6 +148,6 @@ def read_back(ids: np.ndarray, loss_mask: np.ndarray, tokenizer_path: str) -> tu
     edges = np.flatnonzero(np.diff(np.concatenate([[0], loss_mask, [0]])))
     pieces = [ids[a + 1 : b] for a, b in zip(starts, ends, strict=True)] + [ids[a:b] for a, b in edges.reshape(-1, 2)]
     spoken = tok.decode_batch([x.tolist() for x in pieces], skip_special_tokens=False)
-    turns = [tuple(map(unescape, x.split("\n", 1))) for x in spoken[: len(starts)]]
+    turns = [(unescape_role(role), unescape(text)) for role, text in (x.split("\n", 1) for x in spoken[: len(starts)])]
     chars = sum(len(x) + len(START) + len(END) + 1 for x in spoken[: len(starts)])
     return turns, [unescape(x) for x in spoken[len(starts) :]], chars

@@ -94,6 +94,11 @@ def op8_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.host_quality(_table(spark, sf_dir, "documents")).drop("source")
 
 
+def op8_page_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 8 over raw pages and the hosts of their URLs."""
+    return quality.host_quality(_table(spark, sf_dir, "pages"), id_col="page_id", text_col="html", url_col="url").drop("source")
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linededup.dedup_lines(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
@@ -113,6 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_proximity": op6_proximity,
     "op7_sharding": op7_sharding,
     "op8_host_quality": op8_host_quality,
+    "op8_page_hosts": op8_page_hosts,
     "op9_line_dedup": op9_line_dedup,
     "op10_jaccard_join": op10_jaccard_join,
 }
@@ -125,7 +131,7 @@ WITH told AS (
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
        coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
-       sum(length(regexp_replace(role, '<(\\*)\|', '<\\\1|', 'g')) + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')) + 24)::BIGINT AS formatted_chars
+       sum(length(regexp_replace(replace(replace(role, '\', '\\'), chr(10), '\n'), '<(\\*)\|', '<\\\1|', 'g')) + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')) + 24)::BIGINT AS formatted_chars
 FROM told GROUP BY conv_id
 """
 
@@ -157,9 +163,10 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce
 FROM words LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
-_OP8_SQL = r"""
+def _op8_sql(table: str, row_id: str, text: str, host: str) -> str:
+    return rf"""
 WITH t AS (
-    SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text FROM documents
+    SELECT row_number() OVER () AS r, {row_id} AS doc_id, {host} AS source, coalesce({text}, '') AS text FROM {table}
 ), w AS (
     SELECT r, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
            list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
@@ -172,41 +179,48 @@ WITH t AS (
 ), covered AS (
     SELECT r, count(DISTINCT i + k) AS n FROM twice, (VALUES (0), (1), (2)) AS o(k) GROUP BY r
 ), f AS (
-    SELECT t.doc_id, t.source, len(ws)::BIGINT AS n_words, list_sum(list_transform(ws, lambda x: length(x)))::BIGINT AS word_chars,
+    SELECT t.doc_id, t.source, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
            length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
-           (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words
+           (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words, len(ls)::BIGINT AS n_lines
     FROM t JOIN w USING (r) LEFT JOIN covered USING (r)
 ), v AS (
-    SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f
+    SELECT *, [n_words < 50, 100 * n_repeat_words > 50 * n_words, 100 * n_symbols > 30 * n_words, 2 * n_dup_lines > n_lines,
+               n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 50 * n_words)] AS fails FROM f
 ), hosts AS (
-    SELECT source, count(*) AS n, sum(base_failed::INT) AS bad FROM v GROUP BY source
+    SELECT source, k, count(*) AS n, sum(fails[k]::INT) AS bad FROM v, generate_series(1, 5) AS g(k) GROUP BY ALL
 ), m AS (
-    SELECT avg(bad / n) AS m, var_samp(bad / n) AS s2, count(*) AS k FROM hosts
+    SELECT k, avg(bad / n) AS m, var_samp(bad / n) AS s2, count(*) AS hosts FROM hosts GROUP BY k
 ), prior AS (
-    SELECT CASE WHEN ok THEN m * (m * (1 - m) / s2 - 1) ELSE 1 END AS a, CASE WHEN ok THEN (1 - m) * (m * (1 - m) / s2 - 1) ELSE 1 END AS b
-    FROM (SELECT *, coalesce(k > 1 AND s2 > 0 AND m > 0 AND m < 1 AND s2 < m * (1 - m), false) AS ok FROM m)
+    SELECT k, CASE WHEN ok THEN m * (m * (1 - m) / s2 - 1) ELSE 1 END AS a, CASE WHEN ok THEN (1 - m) * (m * (1 - m) / s2 - 1) ELSE 1 END AS b
+    FROM (SELECT *, coalesce(hosts > 1 AND s2 > 0 AND m > 0 AND m < 1 AND s2 < m * (1 - m), false) AS ok FROM m)
+), rates AS (
+    SELECT source, max((bad + a) / (n + a + b)) AS rate FROM hosts JOIN prior USING (k) GROUP BY source
 )
-SELECT doc_id, n_words, coalesce(word_chars, 0) AS word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND (hosts.bad + a) / (hosts.n + a + b) <= 0.8 AS kept
-FROM v JOIN hosts ON v.source IS NOT DISTINCT FROM hosts.source, prior
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, fails[1] OR fails[2] AS base_failed,
+       NOT list_bool_or(fails) AND rate <= 0.8 AS kept,
+       concat_ws(',', CASE WHEN fails[1] THEN 'short' END, CASE WHEN fails[2] THEN 'repeats' END, CASE WHEN fails[3] THEN 'symbols' END,
+                 CASE WHEN fails[4] THEN 'lines' END, CASE WHEN fails[5] THEN 'lengths' END) AS failed_rules,
+       round(rate, 6) AS host_rate
+FROM v JOIN rates ON v.source IS NOT DISTINCT FROM rates.source
 """
 
+
 _OP9_SQL = r"""
 WITH lines AS (
-    SELECT doc_id, generate_subscripts(ls, 1) AS i, unnest(ls) AS line
-    FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)
+    SELECT r, doc_id, generate_subscripts(ls, 1) AS i, unnest(ls) AS line
+    FROM (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)
 ), keyed AS (
-    SELECT doc_id, i, line, translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''),
+    SELECT r, doc_id, i, line, translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''),
                                       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
     FROM lines
 ), often AS (
-    SELECT k, max(doc_id) AS last FROM keyed WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3
+    SELECT k, max(doc_id) AS last FROM keyed WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT r) >= 3
 ), marked AS (
     SELECT keyed.*, often.k IS NOT NULL AND doc_id <> last AS gone FROM keyed LEFT JOIN often USING (k)
 )
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
-FROM marked GROUP BY doc_id
+FROM marked GROUP BY r, doc_id
 """
 
 _OP10_SQL = r"""
@@ -234,7 +248,8 @@ SELECT doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(c) AS component_id
 ORACLE_SQL: dict[str, str] = {
     "op3_chat_format": _OP3_SQL,
     "op6_decontamination": _OP6_SQL,
-    "op8_host_quality": _OP8_SQL,
+    "op8_host_quality": _op8_sql("documents", "doc_id", "text", "source"),
+    "op8_page_hosts": _op8_sql("pages", "page_id", "html", "lower(nullif(regexp_extract(url, '^[a-zA-Z]+://([^/:?#]+)', 1), ''))"),
     "op9_line_dedup": _OP9_SQL,
     "op10_jaccard_join": _OP10_SQL,
 }

@@ -10,13 +10,14 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..code import share_code
 
@@ -147,6 +148,17 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def map_rows(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType) -> DataFrame:
+    """``mapInArrow`` for columns of any name; Spark itself takes a name with a backtick for syntax."""
+    given, made = df.columns, StructType([StructField(f"c{k}", f.dataType) for k, f in enumerate(schema.fields)])
+
+    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in run(pa.RecordBatch.from_arrays(b.columns, names=given) for b in batches):
+            yield pa.RecordBatch.from_arrays(b.columns, names=made.names)
+
+    return df.toDF(*(f"c{k}" for k in range(len(given)))).mapInArrow(renamed, made).toDF(*schema.names)
+
+
 def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", most_sent: int = MOST_SENT) -> DataFrame:
     """``docs`` without the rows whose id stands in the one column of ``ids``.
 
