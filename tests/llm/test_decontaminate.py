@@ -30,9 +30,9 @@ def by_hand(rows, items, window):
     return sorted(out)
 
 
-@pytest.mark.parametrize(("shard_words", "block_bytes", "most_terms"), [(1_500_000, 2 << 20, 4_000_000), (50, 200, 0)])
-def test_hits_equal_brute_force(spark, monkeypatch, shard_words, block_bytes, most_terms):
-    for name, value in (("SHARD_WORDS", shard_words), ("BLOCK_BYTES", block_bytes), ("MOST_TERMS", most_terms)):
+@pytest.mark.parametrize(("shard_words", "block_words", "pass_words", "most_terms"), [(1_500_000, 300_000, 4_000_000, 4_000_000), (50, 1, 4_000_000, 0), (50, 20, 100, 0)])
+def test_hits_equal_brute_force(spark, monkeypatch, shard_words, block_words, pass_words, most_terms):
+    for name, value in (("SHARD_WORDS", shard_words), ("BLOCK_WORDS", block_words), ("PASS_WORDS", pass_words), ("MOST_TERMS", most_terms)):
         monkeypatch.setattr(decontaminate, name, value)
     rng, rows = random.Random(4), documents(8, 60)
     items = [(k, sentence(rng, rng.randint(1, 30))) for k in range(25)] + [(90, None), (91, ""), (92, "?!"), (93, "Alpha1"), (94, "aa aa aa"), (95, "ß é😀")]
@@ -77,11 +77,12 @@ def near_by_hand(text, items, within, window=10):
     return len(near - exact)
 
 
-@pytest.mark.parametrize(("shard_words", "block_bytes"), [(1_500_000, 2 << 20), (120, 200)])
+@pytest.mark.parametrize(("shard_words", "block_words", "pass_words"), [(1_500_000, 300_000, 4_000_000), (120, 30, 150)])
 @pytest.mark.parametrize("within", [0, 4, 25])
-def test_proximity_equals_brute_force(spark, monkeypatch, shard_words, block_bytes, within):
+def test_proximity_equals_brute_force(spark, monkeypatch, shard_words, block_words, pass_words, within):
     monkeypatch.setattr(decontaminate, "SHARD_WORDS", shard_words)
-    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block_bytes)
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block_words)
+    monkeypatch.setattr(decontaminate, "PASS_WORDS", pass_words)
     rng = random.Random(6)
     items = [(k, sentence(rng, rng.randint(1, 30))) for k in range(25)] + [(90, None), (91, ""), (94, "aa aa bb cc aa"), (3, sentence(rng, 12))]
     rows = [(1, None), (2, ""), (3, "cc bb"), (4, "aa bb cc aa aa")]

@@ -9,12 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ALNUM, WordHashes, slices, stash, texts, without
+from ..code import share_code
+from .shared import ALNUM, WordHashes, forget, quoted, slices, stash, texts, without
 
 #: Words of one index shard, about; a longer document has a shard of its own.
 SHARD_WORDS = 1_500_000
-#: Bytes of benchmark text whose windows, and distinct terms whose hashes, go to the executors at once.
-BLOCK_BYTES = 2 << 20
+#: Words of benchmark items that are searched for at once in a worker, and that go to the executors in one pass (8 bytes each).
+BLOCK_WORDS = 300_000
+PASS_WORDS = 4_000_000
+#: Distinct terms whose hashes go to the executors (8 bytes each).
 MOST_TERMS = 4_000_000
 #: Percent of an item's distinct terms that a proximity match must hold.
 NEAR_SHARE = 80
@@ -22,22 +25,34 @@ NEAR_SHARE = 80
 PROXIMITY = 10
 
 _INDEX = "doc_ids array<{id}>, n_words array<bigint>, terms array<bigint>, sizes array<int>, gaps binary"
+_FOUND = "doc_id {id}, n_words bigint, hits array<int>, items array<string>, near array<string>, shard bigint, nth int"
 
 
 def _words(text: bytes) -> list[bytes]:
     return text.translate(ALNUM).split()
 
 
-def benchmark_terms(benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """The distinct term hashes (``term``) of the benchmark."""
+def benchmark_words(benchmark: DataFrame) -> DataFrame:
+    """``item, n, words``: the hashes of each item's words, as bytes, and their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for b in slices(batches, "text"):
-            found = {w for x in texts(b.column("text")) for w in _words(x)}
-            yield pa.RecordBatch.from_arrays([pa.array(hashes.of(list(found)).view(np.int64))], names=["term"])
+            found = [hashes.of(_words(x)) for x in texts(b.column("text"))]
+            cols = [b.column("item"), pa.array(list(map(len, found)), pa.int64()), pa.array([h.tobytes() for h in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["item", "n", "words"])
 
-    return benchmark.select(F.col(text_col).alias("text")).mapInArrow(run, "term long").distinct()
+    return benchmark.mapInArrow(run, "item string, n bigint, words binary")
+
+
+def benchmark_terms(items: DataFrame) -> DataFrame:
+    """The distinct term hashes (``term``) of the items' words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.frombuffer(b"".join(b.column("words").to_pylist()), np.int64)))], names=["term"])
+
+    return items.select("words").mapInArrow(run, "term long").distinct()
 
 
 def build_index(docs: DataFrame, terms: DataFrame | None, *, window: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -52,8 +67,9 @@ def build_index(docs: DataFrame, terms: DataFrame | None, *, window: int = 10, i
     spark = docs.sparkSession
     known = None
     if terms is not None:
-        known = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in terms.collect()], np.int64).view(np.uint64)))
-    kind = docs.select(id_col).schema[0].dataType.simpleString()
+        known = spark.sparkContext.broadcast(np.sort(terms.toArrow().column("term").to_numpy().view(np.uint64)))
+    share_code(spark)
+    kind = docs.schema[id_col].dataType.simpleString()
 
     def shard(ids: list, counts: list[int], hashes: list[np.ndarray], id_type: pa.DataType) -> pa.RecordBatch:
         n = np.array(counts, np.int64)
@@ -90,8 +106,8 @@ def build_index(docs: DataFrame, terms: DataFrame | None, *, window: int = 10, i
         if ids:
             yield shard(ids, counts, hashes, id_type)
 
-    given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return stash(given.mapInArrow(run, _INDEX.format(id=kind)), "postings")
+    given = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"))
+    return stash(given.mapInArrow(run, _INDEX.format(id=kind)).withColumn("shard", F.monotonically_increasing_id()), "postings")
 
 
 class _Windows:
@@ -165,8 +181,10 @@ def contamination(
     The index of ``build_index`` is written to the shared folder and searched shard by shard,
     each row by itself: nothing is shuffled, and a frequent word or passage only lengthens
     lists inside the shards that hold it.  Benchmark terms filter the postings while there are
-    at most ``MOST_TERMS``; windows go to the executors in blocks of ``BLOCK_BYTES`` of text,
-    which all search the same index.
+    at most ``MOST_TERMS``.  Items go to the executors ``PASS_WORDS`` at a time; a worker searches
+    a shard for blocks of ``BLOCK_WORDS`` of them.  A benchmark of more words takes several passes
+    over the index, the first of which lists all documents and the others those with matches;
+    what they found is then put together by document.
 
     Null texts have no words, and an item without words matches nothing; repeated rows are
     documents of their own; items with equal names count once.  Other columns are not read.
@@ -174,19 +192,26 @@ def contamination(
     if proximity is not None and proximity < 0:
         raise ValueError("proximity must not be negative")
     spark = docs.sparkSession
-    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(item_text_col).alias("text"))
-    size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
+    share_code(spark)
+    told = benchmark.select(F.coalesce(F.col(quoted(item_col)).cast("string"), F.lit("")).alias("item"), F.col(quoted(item_text_col)).alias("text"))
+    items = stash(benchmark_words(told).where("n > 0"), "items")
     terms = stash(benchmark_terms(items), "terms")
     index = build_index(docs, terms if terms.count() <= MOST_TERMS else None, window=window, id_col=id_col, text_col=text_col)
-    blocks = max(1, -(-size // BLOCK_BYTES))
-    found = index.withColumns({"at": F.array().cast("array<int>"), "item": F.array().cast("array<string>"), "near": F.array().cast("array<string>")})
-    for k in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k) if blocks > 1 else items
-        memo = WordHashes()
-        sent = spark.sparkContext.broadcast([(r[0], memo.of(_words((r[1] or "").encode()))) for r in own.collect()])
-        found = found.mapInArrow(_searcher(sent, window, proximity), found.schema)
     kind = index.schema["doc_ids"].dataType.elementType.simpleString()
-    return found.mapInArrow(_by_document(window), f"doc_id {kind}, n_words bigint, n_hit bigint, items array<string>, n_near bigint")
+    passes = max(1, -(-(items.agg(F.sum("n")).first()[0] or 0) // PASS_WORDS))
+    found = None
+    for k in range(passes):
+        own = items.where(F.pmod(F.xxhash64("item", "words"), F.lit(passes)) == k) if passes > 1 else items
+        own = own.select("item", "words").toArrow()
+        sent = spark.sparkContext.broadcast(list(zip(own.column("item").to_pylist(), own.column("words").to_pylist(), strict=True)))
+        part = index.mapInArrow(_searcher(sent, window, proximity, every=not k), _FOUND.format(id=kind))
+        found = found.unionAll(part) if k else part
+    if passes > 1:
+        together = lambda c: F.array_distinct(F.flatten(F.collect_list(c))).alias(c)
+        found = found.groupBy("shard", "nth").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), *(together(c) for c in ("hits", "items", "near")))
+    forget(items, terms)
+    near = F.size(F.array_except("near", "items")).cast("long")
+    return found.select("doc_id", "n_words", F.size("hits").cast("long").alias("n_hit"), F.array_sort("items").alias("items"), near.alias("n_near"))
 
 
 def _postings(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -199,38 +224,56 @@ def _postings(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return terms, sizes, steps
 
 
-def _searcher(sent, window: int, proximity: int | None):
-    """For ``mapInArrow`` over index rows: adds to each the matches with one block of items.
+def _searcher(sent, window: int, proximity: int | None, every: bool):
+    """For ``mapInArrow`` over index rows: the matches of each document with the items sent, or only of those that have any.
 
-    ``at`` holds hit positions; ``item`` and ``near`` hold ``number of the document:item`` for exact
-    and for proximity matches.
+    ``hits`` are positions of words in the document.
     """
 
+    def blocks() -> Iterator[tuple[_Windows, _Bags | None]]:
+        some, n = [], 0
+        for name, words in sent.value:
+            if some and n + len(words) // 8 > BLOCK_WORDS:
+                yield _Windows(some, window), None if proximity is None else _Bags(some)
+                some, n = [], 0
+            some.append((name, np.frombuffer(words, np.uint64)))
+            n += len(words) // 8
+        if some:
+            yield _Windows(some, window), None if proximity is None else _Bags(some)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = _Windows(sent.value, window)
-        bags = _Bags(sent.value) if proximity is not None else None
+        ready = list(blocks()) if sum(len(w) for _, w in sent.value) <= 16 * BLOCK_WORDS else None  # made anew for each shard if they are many
         for batch in batches:
-            for k in range(batch.num_rows):
-                row = batch.slice(k, 1)
+            for r in range(batch.num_rows):
+                row = batch.slice(r, 1)
                 terms, sizes, pos = _postings({c: row.column(c)[0].as_py() if c == "gaps" else row.column(c)[0].values.to_numpy() for c in ("terms", "sizes", "gaps")})
-                start, n, item = _search(terms, sizes, pos, windows)
-                doc = _doc_of(row, window, start)
-                hit = np.unique(np.concatenate([row.column("at")[0].values.to_numpy(), *(start[n == m][:, None] + np.arange(m) for m in np.unique(n))], axis=None)) if len(start) else row.column("at")[0].values.to_numpy()
-                pairs = np.unique(np.stack([doc, item], 1), axis=0) if len(doc) else np.zeros((0, 2), np.int64)
-                names = row.column("item")[0].as_py() + [f"{d}:{windows.names[i]}" for d, i in pairs.tolist()]
-                near = row.column("near")[0].as_py()
-                if bags:
-                    found = _near(terms, sizes, pos, row.column("n_words")[0].values.to_numpy(), window, bags, proximity)
-                    near += [f"{d}:{windows.names[i]}" for d, i in found]
-                new = {"at": pa.array([hit], pa.list_(pa.int32())), "item": pa.array([names], pa.list_(pa.string())), "near": pa.array([near], pa.list_(pa.string()))}
-                yield pa.RecordBatch.from_arrays([new.get(f.name, row.column(f.name)) for f in batch.schema], schema=pa.schema([pa.field(f.name, new[f.name].type if f.name in new else f.type) for f in batch.schema]))
+                n_words = row.column("n_words")[0].values.to_numpy()
+                begins = np.cumsum(n_words + window) - (n_words + window)
+                hits: list[np.ndarray] = []
+                items: list[set[str]] = [set() for _ in n_words]
+                near: list[set[str]] = [set() for _ in n_words]
+                for windows, bags in ready or blocks():
+                    start, n, item = _search(terms, sizes, pos, windows)
+                    hits += [(start[n == m][:, None] + np.arange(m)).ravel() for m in np.unique(n)]
+                    for d, i in np.unique(np.stack([_doc_of(n_words, window, start), item], 1), axis=0).tolist():
+                        items[d].add(windows.names[i])
+                    for d, i in _near(terms, sizes, pos, n_words, window, bags, proximity) if bags else ():
+                        near[d].add(windows.names[i])
+                at = np.unique(np.concatenate([np.zeros(0, np.int64), *hits]))
+                doc = _doc_of(n_words, window, at)
+                cuts = np.searchsorted(doc, np.arange(len(n_words) + 1))
+                kept = [d for d in range(len(n_words)) if every or items[d] or near[d]]
+                own = [pa.array([at[cuts[d] : cuts[d + 1]] - begins[d] for d in kept], pa.list_(pa.int32()))]
+                own += [pa.array([sorted(x[d]) for d in kept], pa.list_(pa.string())) for x in (items, near)]
+                ids = row.column("doc_ids")[0].values.take(pa.array(kept, pa.int64()))
+                shard = pa.array([row.column("shard")[0].as_py()] * len(kept), pa.int64())
+                yield pa.RecordBatch.from_arrays([ids, pa.array(n_words[kept], pa.int64()), *own, shard, pa.array(kept, pa.int32())], names=[x.split()[0] for x in _FOUND.split(", ")])
 
     return run
 
 
-def _doc_of(row: pa.RecordBatch, window: int, positions: np.ndarray) -> np.ndarray:
-    n = row.column("n_words")[0].values.to_numpy()
-    return np.searchsorted(np.cumsum(n + window), positions, "right")
+def _doc_of(n_words: np.ndarray, window: int, positions: np.ndarray) -> np.ndarray:
+    return np.searchsorted(np.cumsum(n_words + window), positions, "right")
 
 
 class _Bags:
@@ -286,25 +329,6 @@ def _near(terms: np.ndarray, sizes: np.ndarray, pos: np.ndarray, n_words: np.nda
     return out
 
 
-def _by_document(window: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                row = batch.slice(k, 1)
-                ids, n = row.column("doc_ids")[0].values, row.column("n_words")[0].values.to_numpy()
-                hits = np.bincount(_doc_of(row, window, row.column("at")[0].values.to_numpy()), minlength=len(n))
-                named, close = ([set() for _ in range(len(n))] for _ in range(2))
-                for column, sets in (("item", named), ("near", close)):
-                    for x in row.column(column)[0].as_py():
-                        doc, _, name = x.partition(":")
-                        sets[int(doc)].add(name)
-                near = np.array([len(x - y) for x, y in zip(close, named, strict=True)], np.int64)
-                cols = [ids, pa.array(n), pa.array(hits.astype(np.int64)), pa.array([sorted(x) for x in named], pa.list_(pa.string())), pa.array(near)]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_words", "n_hit", "items", "n_near"])
-
-    return run
-
-
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, proximity: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without those that hold a benchmark window or, with ``proximity``, an item's terms close together; by id: rows without an id stay, and rows that share one go together."""
     found = contamination(docs, benchmark, window=window, proximity=proximity, id_col=id_col, text_col=text_col)
