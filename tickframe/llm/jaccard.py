@@ -51,8 +51,8 @@ class Bands:
         return math.floor(2 * most * (1 - self.t) / (1 + self.t))
 
     def parts(self, k: int) -> int:
-        """Twice what two sets may differ in, so that half of a set's segments may be too common to be of use (see ``buckets``)."""
-        return 2 * (self.limit(k) + 1)
+        """An eighth more than are needed to be sure of one, so that a set may do without some common segments (see ``buckets``)."""
+        return self.limit(k) + 1 + 2 + (self.limit(k) + 1) // 8
 
     def bits(self, k: int) -> int:
         """Of the folded sketch by which candidates are compared."""
@@ -136,7 +136,9 @@ class _Seen(set):
         return True
 
 
-_SHAPE = "n_shingles long, h1 long, h2 long, band int, keys array<long>, keys_up array<long>, slack int, slack_up int, sketch binary, sketch_up binary"
+#: A key that so many sets of one batch share is common: its rows are told apart before the others are gathered by key.
+COMMON = 32
+_SHAPE = "n_shingles long, h1 long, h2 long, band int, keys array<long>, keys_up array<long>, slack int, slack_up int, sketch binary, sketch_up binary, common array<long>"
 
 
 def shapes(docs: DataFrame, n: int, num: int, den: int, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -145,17 +147,18 @@ def shapes(docs: DataFrame, n: int, num: int, den: int, *, id_col: str = "doc_id
     ``doc_id, n_shingles, h1, h2`` (a 128-bit hash of the set), and for a set that the task has
     not met before: its band, the keys of its sketch's segments, how many of them it may do
     without, and its folded sketch, for its own band's scheme and the next one's (``_up``).  A
-    text copied a million times gives these once a task.
+    text copied a million times gives these once a task.  The first row of a batch also has the
+    keys that are ``common`` in it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, bands, seen = WordHashes(), Bands(num, den), _Seen()
         for b in slices(batches, "text", 4 << 20):
-            rows = []
+            rows, every = [], []
             for s in _shingle_sets(texts(b.column("text")), n, memo):
                 h = _set_hash(s)
                 if not len(s) or not seen.new(h):
-                    rows.append((len(s), *h, *[None] * 7))
+                    rows.append([len(s), *h, *[None] * 8])
                     continue
                 k = bands.band(len(s))
                 keys, slacks, drawn = [], [], []
@@ -165,11 +168,16 @@ def shapes(docs: DataFrame, n: int, num: int, den: int, *, id_col: str = "doc_id
                     keys.append(own)
                     slacks.append(slack)
                     drawn.append(_folded(bit, bands.bits(scheme)))
-                rows.append((len(s), *h, k, *keys, *slacks, *drawn))
+                rows.append([len(s), *h, k, *keys, *slacks, *drawn, None])
+                every += keys
+            if every:
+                key, times = np.unique(np.concatenate(every), return_counts=True)
+                rows[0][-1] = key[times >= COMMON]
             cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("id"), *cols], names=names)
 
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+    many = pa.list_(pa.int64())
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), many, many, pa.int32(), pa.int32(), pa.binary(), pa.binary(), many]
     names = ["doc_id", *(x.split()[0] for x in _SHAPE.split(", "))]
     share_code(docs.sparkSession)
     given = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"))
@@ -184,20 +192,24 @@ def _sent(df: DataFrame) -> DataFrame:
 def buckets(shaped: DataFrame, clashes: DataFrame) -> DataFrame:
     """``key, h, up, size``: sets (by ``h1``) that share a segment, in buckets of two or more.
 
-    Keys that one set alone has are left out first, by partial sums, then the others are counted
-    by set.  In the order of their counts, a set then leaves its ``slack`` most common segments
+    Keys that one set alone has are left out first, then the sets of the others are counted.  In
+    the order of these counts, a set then leaves its ``slack`` most common segments
     (see ``_segment_keys``): a passage in a third of all documents costs each of them a few
     common segments, which they can spare.  Sets whose ``h1`` is not theirs alone spare none.
 
-    No key is gathered in one task: sums are partial, and joins on keys are between written
-    tables, which Spark splits where they are skewed.  A set's own segments, as many as its
-    text is long, are ordered in one task.
+    No common key is gathered in one task: keys that are common in some batch of texts are known
+    to be shared and go past the first step, the counts are partial sums, and later joins on keys are
+    between written tables, which Spark splits where they are skewed.  A set's own segments, as
+    many as its text is long, are ordered in one task.
     """
     of = lambda up, keys, slack: shaped.where(F.col(keys).isNotNull()).select(F.explode(keys).alias("key"), F.col("h1").alias("h"), F.lit(up).cast("byte").alias("up"), F.col(slack).alias("slack"))
     keys = of(0, "keys", "slack").union(of(1, "keys_up", "slack_up"))
-    often = stash(keys.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("key"), "often")
-    rows = stash(keys.join(_sent(often), "key", "left_semi").distinct(), "met")
-    sizes = stash(rows.groupBy("key").agg(F.count("*").alias("size")), "sizes")
+    common = stash(shaped.select(F.explode("common").alias("key")).distinct(), "common")
+    by_key = Window.partitionBy("key")
+    rare = keys.join(_sent(common), "key", "left_anti").select("*", F.min("h").over(by_key).alias("lo"), F.max("h").over(by_key).alias("hi"))
+    shared = rare.where("lo <> hi").drop("lo", "hi").unionByName(keys.join(_sent(common), "key", "left_semi"))
+    rows = stash(shared.distinct(), "met")
+    sizes = stash(rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
     sized = rows.join(sizes, "key")
     if clashes.head(1):
         sized = sized.join(clashes.select(F.col("h1").alias("h"), F.lit(True).alias("shared")), "h", "left").withColumn("slack", F.when(F.col("shared"), 0).otherwise(F.col("slack")))
@@ -205,7 +217,7 @@ def buckets(shaped: DataFrame, clashes: DataFrame) -> DataFrame:
     left = stash(sized.withColumn("nth", F.row_number().over(rarest)).where("nth > slack").select("key", "h", "up"), "left")
     again = stash(left.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
     out = stash(left.join(again, "key"), "buckets")
-    forget(often, rows, sizes, left, again)
+    forget(common, rows, sizes, left, again)
     return out
 
 
@@ -362,6 +374,7 @@ def jaccard_groups(docs: DataFrame, *, words: int = 5, num: int = 4, den: int =
     ids = stash(met.select("h").distinct(), "ids")
     drawn = shaped.where(F.col("sketch").isNotNull()).join(_sent(ids), F.col("h1") == F.col("h"), "left_semi").dropDuplicates(["h1", "h2"])
     numbered = stash(drawn.select("h1", "h2", F.col("n_shingles").alias("n"), "band", "sketch", "sketch_up").withColumn("h", F.monotonically_increasing_id()), "sketches")
+    forget(shaped)
     drawn = numbered.drop("h1", "h2")
     names = stash(numbered.select("h", "h1", "h2").join(reps, ["h1", "h2"]).select("h", "h1", "h2", "rep"), "names")
     held = stash(met.withColumnRenamed("h", "h1").join(numbered.select("h", "h1"), "h1").select("key", "h", "up", "size"), "held")
@@ -389,12 +402,12 @@ def jaccard_groups(docs: DataFrame, *, words: int = 5, num: int = 4, den: int =
     more = links(_cross_pairs(placed.join(open_keys, "key"), drawn, num, den))
     final = components(roots.select(F.col("h").alias("a"), F.col("root").alias("b")).union(more))
 
-    named = final.join(names, "h")
-    least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
+    named = stash(final.join(names, "h"), "named")
+    least = stash(named.groupBy("root").agg(F.min("rep").alias("component_id")), "least")  # written, so that a large component can be split in the join
     linked = named.join(least, "root").select("h1", "h2", "component_id")
     known = reps.join(linked, ["h1", "h2"], "left").where("copies > 1 or component_id is not null").select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), F.coalesce("component_id", "rep").alias("component_id"))
     known = stash(known, "known")  # so that both sides of the join are plain exchanges and a hot class can be split
-    forget(shaped, reps, clashes, met, ids, numbered, names, held, centre, near, placed, open_keys, more)
+    forget(reps, clashes, met, ids, numbered, names, held, centre, near, placed, open_keys, more, named, least)
     out = classes.join(known, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")) & (F.col("n_shingles") > 0), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
