@@ -37,8 +37,9 @@ def got(spark, rows, n, num, den):
     return {r.doc_id: (r.n_shingles, r.component_id) for r in found}
 
 
-@pytest.mark.parametrize(("n", "num", "den"), [(3, 9, 10), (5, 4, 5)])
-def test_groups_equal_brute_force(spark, monkeypatch, n, num, den):
+@pytest.mark.parametrize(("n", "num", "den", "common"), [(3, 9, 10, 2), (5, 4, 5, 32)])
+def test_groups_equal_brute_force(spark, monkeypatch, n, num, den, common):
+    monkeypatch.setattr(jaccard, "COMMON", common)
     monkeypatch.setattr(jaccard, "BLOCK_ROWS", 4)
     rng, rows = random.Random(n), documents(n)
     base = sentence(rng, 150)
