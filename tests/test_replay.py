@@ -24,7 +24,7 @@ def replay(spark):
         (60, 12, "CSmokeGrenadeProjectile.m_hOwnerEntity", str(0x8000 | 1)), (60, 12, "CSmokeGrenadeProjectile.CBodyComponentBaseAnimGraph.m_cellX", "33"), (60, 12, "CSmokeGrenadeProjectile.CBodyComponentBaseAnimGraph.m_vecX", "1.5"),
     ]
     t = {
-        "updates": spark.createDataFrame([("d", *u) for u in updates], "demo_id string, entity_id int, seq long, prop string, value string"),
+        "updates": spark.createDataFrame([("d", e, s, 1 + (s > 10) + (s > 19), p, v) for e, s, p, v in updates], "demo_id string, entity_id int, seq long, tick int, prop string, value string"),
         "lifecycle": spark.createDataFrame([("d", 1, 1, "create", "CCSPlayerPawn"), ("d", 60, 11, "create", "CSmokeGrenadeProjectile"), ("d", 60, 21, "delete", "CSmokeGrenadeProjectile"), ("d", 2, 25, "delete", "CCSPlayerPawn")], "demo_id string, entity_id int, seq long, kind string, cls string"),
         "ticks": spark.createDataFrame([("d", 0, 10, 1, 64), ("d", 0, 19, 2, 128), ("d", 1, 30, 3, 192)], "demo_id string, segment_id int, seq long, tick int, net_tick long"),
         "players": spark.createDataFrame([("d", 1, 11, 100, "A", 2, 0, None), ("d", 2, 12, 200, "B", 3, 0, None)], "demo_id string, pawn_id int, controller_id int, steamid long, name string, team_num int, from_seq long, to_seq long"),
@@ -77,7 +77,7 @@ def test_events_know_their_players(replay):
 
 def test_event_lists(replay):
     assert [r[0] for r in replay.event_names().collect()] == ["bomb_planted", "player_death"]
-    assert {k: v.count() for k, v in replay.events(["all"]).items()} == {"bomb_planted": 1, "player_death": 2}
+    assert {k: v.count() for k, v in replay.events(["all"]).items()} == {"bomb_planted": 1, "player_death": 2, "player_first_connect": 2}
     assert replay.event("no_such").count() == 0
     for bad in (lambda: replay.events("player_death"), lambda: replay.event(["x"]), lambda: replay.event("x", player="health"), lambda: replay.ticks("health"), lambda: replay.events([1])):
         with pytest.raises(TypeError):
@@ -103,7 +103,10 @@ def test_files_without_entities(spark, tmp_path):
 
     (tmp_path / "a.dem").write_bytes(file())
     r = Replay.from_files(spark, str(tmp_path))
-    assert [x[0] for x in r.event_names().collect()] == ["player_death"]
+    names = [x[0] for x in r.event_names().collect()]
+    assert "player_death" in names
+    assert {"chat_message", "server_message", "server_cvar"} <= {*names}
+    assert r.event("server_message").count() > 0
     assert [x.steamid for x in r.voice().collect()] == [9]
     assert r.skins().count() == 1
     assert r.header().select(F.col("header")["map_name"]).first()[0] == "de_test"

@@ -32,8 +32,6 @@ ROUND_WIN_REASON = {
 ROUND_WINNER = {1: "T", 4: "CT", 5: "CT", 6: "CT", 7: "CT", 8: "CT", 9: "T", 11: "CT", 12: "CT", 13: "T", 14: "CT", 17: "CT", 18: "T", 19: "CT", 20: "CT"}
 HIT_GROUP = {0: "generic", 1: "head", 2: "chest", 3: "stomach", 4: "left_arm", 5: "right_arm", 6: "left_leg", 7: "right_leg", 8: "neck", 10: "gear"}
 PLAYER_COLOR = {0: "blue", 1: "green", 2: "yellow", 3: "orange", 4: "purple"}
-TEAM = {1: "SPECTATOR", 2: "T", 3: "CT"}
-GRENADE = {"CDecoyProjectile": "decoy", "CSmokeGrenadeProjectile": "smoke", "CMolotovProjectile": "molotov", "CHEGrenadeProjectile": "he_grenade", "CFlashbangProjectile": "flashbang"}
 #: Bits of the button mask.
 BUTTONS = {"FIRE": 0, "FORWARD": 3, "BACK": 4, "USE": 5, "LEFT": 9, "RIGHT": 10, "RIGHTCLICK": 11, "RELOAD": 13, "SCOREBOARD": 16, "WALK": 18, "ZOOM": 24, "INSPECT": 35}
 ENTITY_MASK = 0x7FF

@@ -18,38 +18,42 @@ def on_change(deltas: DataFrame, counter: str, by: list[str], order: str, step:
     return told.where(changed)
 
 
-def round_ends(rules: DataFrame, by: list[str], order: str) -> DataFrame:
-    """``round_end`` rows: round, winner and reason, at each step of the round end count.
+def round_ends(rules: DataFrame, by: list[str], order: str, kept: list[str] = []) -> DataFrame:  # noqa: B006
+    """``round_end`` rows: round, winner and reason, at each step of the round end count; ``kept`` are columns to keep.
 
     ``rules`` has ``round_end_count`` and ``reason``; an unmapped reason is its number as text,
     and a reason without a winner gives that number as the winner.
     """
     number = F.col("reason").cast("string")
     return on_change(rules, "round_end_count", by, order, 1).select(
-        *by, order, F.lit("round_end").alias("event_name"), F.col("previous").alias("round"), label(F.col("reason"), ROUND_WIN_REASON).alias("reason"), label(F.col("reason"), ROUND_WINNER, number).alias("winner")
+        *by, order, *kept, F.lit("round_end").alias("event_name"), F.col("previous").alias("round"), label(F.col("reason"), ROUND_WIN_REASON).alias("reason"), label(F.col("reason"), ROUND_WINNER, number).alias("winner")
     )
 
 
-def round_starts(rules: DataFrame, by: list[str], order: str) -> DataFrame:
+def round_starts(rules: DataFrame, by: list[str], order: str, kept: list[str] = []) -> DataFrame:  # noqa: B006
     """``round_officially_ended`` (not before round 2) and ``round_start`` rows at each change of the start count.
 
     ``sub`` orders the two inside one message.
     """
     starts = on_change(rules, "round_start_count", by, order).withColumn("round", F.col("total_rounds_played") + 1)
     kinds = F.explode(F.array(F.struct(F.lit(0).alias("sub"), F.lit("round_officially_ended").alias("event_name")), F.struct(F.lit(1).alias("sub"), F.lit("round_start").alias("event_name"))))
-    told = starts.withColumn("__kind", kinds).select(*by, order, "round", "__kind.sub", "__kind.event_name")
+    told = starts.withColumn("__kind", kinds).select(*by, order, *kept, "round", "__kind.sub", "__kind.event_name")
     return told.where("event_name = 'round_start' or round > 1")
 
 
-def match_ends(rules: DataFrame, by: list[str], order: str) -> DataFrame:
-    return on_change(rules, "match_end_count", by, order).select(*by, order, F.lit("cs_win_panel_match").alias("event_name"))
+def match_ends(rules: DataFrame, by: list[str], order: str, kept: list[str] = []) -> DataFrame:  # noqa: B006
+    return on_change(rules, "match_end_count", by, order).select(*by, order, *kept, F.lit("cs_win_panel_match").alias("event_name"))
 
 
-def ordered_pattern(updates: DataFrame, kind: str, pattern: list[str], by: list[str], order: str, value: str) -> DataFrame:
-    """Consecutive updates of the given kinds: the first row of each match with all values as ``v0, v1, ...``."""
+def ordered_pattern(updates: DataFrame, kind: str, pattern: list[str], by: list[str], order: str, value: str, maybe: dict[str, tuple[str, int]] | None = None) -> DataFrame:
+    """Consecutive updates of the given kinds: the first row of each match with all values as ``v0, v1, ...``.
+
+    ``maybe`` maps columns to the value so many rows on, if that row is of a kind; else null.
+    """
     w = Window.partitionBy(*by).orderBy(order)
     ahead = {f"v{i}": F.lead(value, i).over(w) if i else F.col(value) for i in range(len(pattern))}
     seen = {f"__k{i}": F.lead(kind, i).over(w) if i else F.col(kind) for i in range(len(pattern))}
+    ahead |= {name: F.when(F.lead(kind, i).over(w) == k, F.lead(value, i).over(w)) for name, (k, i) in (maybe or {}).items()}
     match = F.lit(True)
     for i, k in enumerate(pattern):
         match &= F.col(f"__k{i}") == k

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.catalog import Catalog
 from ..functions.labels import REPLACED_EVENTS
 
 #: Values of an IN list; longer lists are joined.
@@ -64,10 +63,5 @@ def grenade_rows(df: DataFrame, grenades: bool = True, column: str = "grenade_ty
     return df if grenades else df.where(F.contains(column, F.lit("Projectile")))
 
 
-def project(df: DataFrame, wanted: list[str], catalog: Catalog, always: tuple[str, ...] = ()) -> DataFrame:
-    """The wanted properties under the caller's spelling; the scan reads no other columns."""
-    return df.select(*always, *(F.col(f"`{catalog.resolve(n)}`").alias(n) for n in wanted))
-
-
 def sorted_columns(df: DataFrame) -> DataFrame:
     return df.select(sorted(df.columns))

@@ -16,21 +16,30 @@ def deref(rows: DataFrame, targets: DataFrame, handle: Column, target_key: str,
     return rows.join(renamed, handle == F.col("__target"), how).drop("__target")
 
 
-def user_of(events: DataFrame, userinfo: DataFrame, field: Column, prefix: str) -> DataFrame:
-    """Events with ``prefix_name`` and ``prefix_steamid`` of the player behind a user id.
+def user_of(events: DataFrame, userinfo: DataFrame, field: Column, prefix: str, by: list[str] = []) -> DataFrame:  # noqa: B006
+    """Events with ``prefix_name`` and ``prefix_steamid`` of the player behind a user id, one row for each.
 
-    The low byte of the id is compared first, then the whole id; unmatched events stay, with nulls.
+    The player with that id itself comes first; without one, ids are compared by their low bytes,
+    and of several such players the one with the smallest id is taken.  Unmatched events stay,
+    with nulls.  ``by`` are columns of both sides that must be equal.
     """
-    info = userinfo.select(F.col("userid").alias("__id"), F.col("name").alias("__name"), F.col("steamid").alias("__steamid"))
-    low, full = info.toDF("__id1", "__name1", "__steamid1"), info.toDF("__id2", "__name2", "__steamid2")
-    out = events.join(low, field.bitwiseAND(255) == F.col("__id1"), "left").join(full, field == F.col("__id2"), "left")
-    name, steam = F.coalesce("__name1", "__name2"), F.coalesce("__steamid1", "__steamid2")
-    return out.select(*events.columns, name.alias(f"{prefix}_name"), steam.cast("string").alias(f"{prefix}_steamid"))
-
-
-def pawn_field(fields: Column, has: set[str]) -> Column | None:
+    player = F.struct("name", "steamid")
+    low = userinfo.select(*by, F.col("userid").bitwiseAND(255).alias("userid"), F.col("userid").alias("__id"), "name", "steamid").groupBy(*by, "userid").agg(F.min_by(player, "__id").alias("__low"))
+    full = userinfo.groupBy(*by, "userid").agg(F.max(player).alias("__full"))
+    out = events
+    for players, key in ((full, field), (low, field.bitwiseAND(255))):
+        own = players.select(*(F.col(c).alias(f"__{c}") for c in (*by, "userid")), players.columns[-1])
+        same = key == F.col("__userid")
+        for c in by:
+            same &= events[c] == F.col(f"__{c}")
+        out = out.join(own, same, "left").drop(*(f"__{c}" for c in (*by, "userid")))
+    who = F.coalesce("__full", "__low")
+    return out.select(*(F.col(f"`{c}`") for c in events.columns), who["name"].alias(f"{prefix}_name"), who["steamid"].cast("string").alias(f"{prefix}_steamid"))
+
+
+def pawn_field(has: set[str]) -> str | None:
     """Which field of an event names its user: ``userid``, else ``entityid``, else ``userid_pawn``."""
-    return next((F.try_element_at(fields, F.lit(f)) for f in ("userid", "entityid", "userid_pawn") if f in has), None)
+    return next((f for f in ("userid", "entityid", "userid_pawn") if f in has), None)
 
 
 def team_columns(teams: DataFrame, by: list[str], props: list[str], team: str = "team_num") -> DataFrame:

@@ -30,28 +30,30 @@ def carry_forward(rows: DataFrame, keys: list[str], order: str, props: dict[str,
     return filled.select(*kept, *(F.coalesce(f"__own_{n}", f"__in_{n}").alias(n) for n in props))
 
 
-def as_of(probes: DataFrame, deltas: DataFrame, keys: list[str], order: str, props: list[str], types: dict[str, str] | None = None, resets: DataFrame | None = None) -> DataFrame:
+def as_of(probes: DataFrame, deltas: DataFrame, keys: list[str], order: str, props: list[str], types: dict[str, str] | None = None, resets: DataFrame | None = None, segment: int | None = None) -> DataFrame:
     """``probes`` with the values that ``deltas`` (keys, order, prop, value) last wrote at or before each.
 
-    Deltas and probes are laid in one sequence and filled by one window for all properties; a
+    Deltas and probes are laid in one sequence and filled at once for all properties; a
     delta at a probe's own position counts.  ``resets`` (keys, order) forget all earlier values
     of a key: a slot's new life, or its end.  Keys that are null on the probe match nothing.
+    With ``segment``, spans of so many positions are filled by themselves (``carry_forward``), so
+    that a key that holds much of the data is spread.
     """
-    wide = deltas.where(F.col("prop").isin(props)).select(*keys, order, F.lit(1).alias("__kind"), *(F.when(F.col("prop") == p, F.col("value")).alias(p) for p in props))
+    at = {p: f"__p{i}" for i, p in enumerate(props)}
+    written = lambda value: F.struct(value.alias("v"))
+    both = deltas.where(F.col("prop").isin(props)).select(*keys, order, F.lit(1).alias("__kind"), *(F.when(F.col("prop") == p, written(F.col("value").cast("string"))).alias(n) for p, n in at.items()))
     mine = [c for c in probes.columns if c not in keys and c != order]
     probe = probes.select(*keys, order, F.lit(2).alias("__kind"), F.struct(*[F.col(f"`{c}`").alias(c) for c in mine] or [F.lit(1).alias("__none")]).alias("__row"))
-    both = wide.unionByName(probe, allowMissingColumns=True)
-    by = list(keys)
+    both = both.unionByName(probe, allowMissingColumns=True)
     if resets is not None:
-        both = both.unionByName(resets.select(*keys, order, F.lit(0).alias("__kind")), allowMissingColumns=True)
-        life = F.sum((F.col("__kind") == 0).cast("int")).over(Window.partitionBy(*keys).orderBy(order, "__kind"))
-        both, by = both.withColumn("__life", life), [*keys, "__life"]
-    w = Window.partitionBy(*by).orderBy(order, "__kind")
+        both = both.unionByName(resets.select(*keys, order, F.lit(0).alias("__kind"), *(written(F.lit(None).cast("string")).alias(n) for n in at.values())), allowMissingColumns=True)
+    both = both.withColumn("__at", F.struct(order, "__kind"))
+    cut = None if segment is None else F.floor(F.col(order) / segment)
+    filled = carry_forward(both, keys, "__at", {n: F.col(n) for n in at.values()}, cut).where("__kind = 2")
     known = F.lit(True)
     for k in keys:
         known &= F.col(k).isNotNull()
-    filled = both.withColumns({p: F.when(known, F.last(f"`{p}`", ignorenulls=True).over(w)) for p in props}).where("__kind = 2")
-    cast = [_typed(F.col(f"`{p}`"), (types or {}).get(p, "string")).alias(p) for p in props]
+    cast = [_typed(F.when(known, F.col(n)["v"]), (types or {}).get(p, "string")).alias(p) for p, n in at.items()]
     return filled.select(*keys, order, *(F.col("__row").getField(c).alias(c) for c in mine), *cast)
 
 

@@ -197,9 +197,9 @@ def pitch_yaw(spark, d):
     return _t(spark, d, "embeddings").select("vec_id", derived.pitch(e).cast("double").alias("pitch"), derived.yaw(e).cast("double").alias("yaw"))
 
 
-@query("SELECT event_id, user_id = 0 AS alive, value > 400 AS airborne FROM events")
+@query("SELECT event_id, coalesce(user_id = 0, false) AS alive, coalesce(value > 400, false) AS airborne FROM events")
 def alive_flag(spark, d):
-    rows = _t(spark, d, "events").where("user_id is not null")
+    rows = _t(spark, d, "events")
     ground = F.when(F.col("value") > 400, F.lit(labels.NO_GROUND)).otherwise(F.when(F.col("value") > 5, F.lit(1)))
     return rows.select("event_id", derived.is_alive(F.nullif(F.col("user_id"), F.lit(7))).alias("alive"), derived.is_airborne(ground).alias("airborne"))
 
@@ -228,7 +228,7 @@ def stickers(spark, d):
     return rows.select("vec_id", (4 * (F.col("n") + 1)).alias("slot"), *(F.col(f"s.{c}").cast("double").alias(c) for c in ("id", "wear", "x", "y")))
 
 
-@query("SELECT event_id, event_id / 64 AS game_time FROM events WHERE event_id < 1000000")
+@query("SELECT event_id, (event_id / 64)::FLOAT::DOUBLE AS game_time FROM events")
 def game_time(spark, d):
     return _t(spark, d, "events").select("event_id", derived.game_time(F.col("event_id")).cast("double").alias("game_time"))
 
@@ -272,20 +272,19 @@ def thrower_inner(spark, d):
 
 
 @query(
-    """SELECT event_id, coalesce(a.c_name, b.c_name) AS user_name, coalesce(a.c_custkey, b.c_custkey)::VARCHAR AS user_steamid FROM events
-    LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) a ON (user_id & 255) = a.c_custkey LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) b ON user_id = b.c_custkey"""
+    """WITH c AS (SELECT * FROM customer WHERE c_acctbal > 0), low AS (SELECT c_custkey & 255 AS k, arg_min(c_name, c_custkey) AS name, min(c_custkey) AS id FROM c GROUP BY 1)
+    SELECT event_id, coalesce(c.c_name, low.name) AS user_name, coalesce(c.c_custkey, low.id)::VARCHAR AS user_steamid FROM events LEFT JOIN c ON user_id = c.c_custkey LEFT JOIN low ON (user_id & 255) = low.k"""
 )
 def event_user_left(spark, d):
     info = _t(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("userid"), F.col("c_name").alias("name"), F.col("c_custkey").alias("steamid"))
     return handles.user_of(_t(spark, d, "events").select("event_id", "user_id"), info, F.col("user_id"), "user").drop("user_id")
 
 
-@query("SELECT l_orderkey, bit_or(1::BIGINT << (l_partkey % 63)::INT) AS bitmask, count(DISTINCT l_partkey) AS n_items FROM lineitem GROUP BY l_orderkey")
+@query("SELECT l_orderkey, (sum(DISTINCT (1::HUGEINT << (l_partkey % 64)::INT)) - CASE WHEN bool_or(l_partkey % 64 = 63) THEN (1::HUGEINT << 64) ELSE 0 END)::BIGINT AS bitmask, count(DISTINCT l_partkey) AS n_items FROM lineitem GROUP BY l_orderkey")
 def inventory(spark, d):
     slots = _t(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
     kept = handles.inventory(slots, ["l_orderkey"], "l_partkey", "l_linenumber")
-    masked = derived.item_bitmask(F.transform("items", lambda i: i % 63))
-    return kept.select("l_orderkey", masked.alias("bitmask"), F.size("items").cast("bigint").alias("n_items"))
+    return kept.select("l_orderkey", derived.item_bitmask(F.col("items")).alias("bitmask"), F.size("items").cast("bigint").alias("n_items"))
 
 
 @query("SELECT o_orderkey, l_partkey AS def_index, o_custkey AS steamid FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_partkey % 5 <> 0")
