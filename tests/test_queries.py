@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import tickframe.queries as q
+import tickframe.replay_queries as surface
 
 WHERE = "/root/testdata/sf0.001"
 
@@ -20,11 +21,11 @@ def tables():
     return con
 
 
-@pytest.mark.parametrize("name", q.QUERIES)
+@pytest.mark.parametrize("name", q.QUERIES | surface.QUERIES)
 def test_query_equals_its_sql(spark, tables, name):
-    got = q.QUERIES[name](spark, WHERE)
+    got = (q.QUERIES | surface.QUERIES)[name](spark, WHERE)
     columns = sorted(got.columns)
-    want = tables.sql(q.ORACLE_SQL[name])
+    want = tables.sql((q.ORACLE_SQL | surface.ORACLE_SQL)[name])
     assert sorted(want.columns) == columns
     rows = lambda found, names: sorted(repr([r[names.index(c)] for c in columns]) for r in found)
     assert rows(map(tuple, got.collect()), got.columns) == rows(want.fetchall(), want.columns)

@@ -54,7 +54,7 @@ _NEEDS |= {f"velocity_{a}": _NEEDS[a] for a in "XYZ"} | {"velocity": _NEEDS["X"]
 _NEEDS |= {"weapon_skin": ["attribute[0]"], "weapon_skin_id": ["attribute[0]"], "weapon_paint_seed": ["attribute[1]"], "weapon_float": ["attribute[2]"], "weapon_stickers": [f"attribute[{k}]" for k in range(4, ATTRIBUTES)]}
 _NEEDS |= {"glove_skin": ["glove[0]"], "glove_paint_id": ["glove[0]"], "glove_paint_seed": ["glove[1]"], "glove_paint_float": ["glove[2]"]}
 _NEEDS |= {"active_weapon_original_owner": list(_XUID), "approximate_spotted_by": [_SPOTTED], "agent_skin": [_AGENT]}
-_NEEDS |= {n: [_LIFE, _HELD, _AMMO, *(f"{_HELD}[{k}]" for k in range(SLOTS))] for n in ("inventory", "inventory_as_ids", "inventory_as_bitmask")}
+_NEEDS |= {n: [_LIFE, _HELD, _AMMO] for n in ("inventory", "inventory_as_ids", "inventory_as_bitmask")}
 #: Positions of the stream whose property changes are filled forward by themselves, so that a busy entity is spread over tasks.
 SPAN = 1 << 16
 USER_FIELDS = {"attacker": "attacker", "userid": "user", "assister": "assister", "victim": "victim", "entityid": "user", "userid_pawn": "user"}
@@ -83,6 +83,7 @@ class WantedPropState:
 class Replay:
     tables: dict[str, DataFrame]
     catalog: Catalog = field(default_factory=Catalog)
+    _used_slots: int | None = field(default=None, repr=False)
 
     @classmethod
     def from_files(cls, spark: SparkSession, path, known_events: DataFrame | None = None, entities: bool = False) -> Replay:
@@ -132,7 +133,7 @@ class Replay:
         real = {w: self._real(w) for w in wanted}
         by_kind: dict[str, list[str]] = {}
         for w in wanted:
-            for p in _NEEDS.get(w, [real[w]]):
+            for p in _NEEDS.get(w, [real[w]]) + ([f"{_HELD}[{k}]" for k in range(self._slots())] if w.startswith("inventory") else []):
                 kind = "weapon" if p in (_ITEM, *_XUID) or p.startswith("attribute[") else "player" if p.startswith("glove[") else self.catalog.kind(p)
                 if p not in by_kind.setdefault(kind, []):
                     by_kind[kind].append(p)
@@ -179,6 +180,14 @@ class Replay:
             raise ValueError(f"unknown property {name}")
         return real
 
+    def _slots(self) -> int:
+        """How many of the ``SLOTS`` of an inventory are ever written; the log is asked once."""
+        if self._used_slots is None:
+            number = F.regexp_extract("prop", r"\[(\d+)\]$", 1).try_cast("int")
+            most = self.table("updates").where(F.col("prop").startswith(f"{_HELD}[")).agg(F.max(number)).first()[0]
+            self._used_slots = 0 if most is None else min(SLOTS, most + 1)
+        return self._used_slots
+
     def _gathered(self, rows: DataFrame, one: Column, value: str, order: str, made: Column) -> DataFrame:
         """``rows`` (as struct ``__row``, one of each) with ``made`` of the list ``__all`` of their ``value``s in order."""
         packed = rows.groupBy("__row").agg(F.sort_array(F.collect_list(F.when(one, F.struct(order, value)))).alias("__all"))
@@ -199,7 +208,8 @@ class Replay:
         With two flashbangs one more stands in the list, and the bomb is listed only for whom it
         names as its owner.  Items that ``items`` does not name are left out, if there is such a relation.
         """
-        slots = F.array(*(F.struct(F.lit(k).alias("slot"), derived.item_entity_of(F.col(f"`{_HELD}[{k}]`")).alias("entity")) for k in range(SLOTS)))
+        none = F.array().cast("array<struct<slot:int,entity:bigint>>")
+        slots = F.concat(none, *(F.array(F.struct(F.lit(k).alias("slot"), derived.item_entity_of(F.col(f"`{_HELD}[{k}]`")).alias("entity"))) for k in range(self._slots())))
         held = F.filter(slots, lambda s: s["entity"].isNotNull() & (s["slot"] < F.col(f"`{_HELD}`")))
         first = F.filter(held, lambda s, i: ~F.exists(held, lambda o: (o["slot"] < s["slot"]) & (o["entity"] == s["entity"])))
         alive = derived.is_alive(F.col(f"`{_LIFE}`"))
