@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from cases import SCHEMA, documents
+from pyspark.sql import functions as F
 
 from tickframe.llm import linededup, quality
 
@@ -148,3 +149,11 @@ def test_hosts_of_urls(spark):
 def test_quality_of_nothing(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert quality.host_quality(none).count() == quality.drop_low_quality(none).count() == 0
+
+
+def test_rows_are_kept_whole_in_large_batches(spark):
+    varied = " ".join(f"w{k}" for k in range(400))
+    df = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "short").otherwise(F.concat(F.lit(varied), F.lit(" "), F.col("id").cast("string"))).alias("text"), F.lit("s").alias("source")).coalesce(1)
+    got = quality.drop_low_quality(df).agg(F.count("*"), F.sum(F.length("text")), F.sum("doc_id")).first()
+    want = df.where("doc_id % 3 <> 0").agg(F.count("*"), F.sum(F.length("text")), F.sum("doc_id")).first()
+    assert tuple(got) == tuple(want)

@@ -8,7 +8,6 @@ from operator import or_
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -161,10 +160,10 @@ def drop_low_quality(docs: DataFrame, *, text_col: str = "text", host_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, text_col):
-            fails = [_fails(*_features(x)) for x in texts(b.column(text_col))]
-            bad = pa.array([any(f) for f in fails], pa.bool_())
+            own = texts(b.column(text_col))
+            fails = [_fails(*_features(x)) for x in own]
             at = b.schema.get_field_index(text_col)
-            left = b.set_column(at, b.schema.field(at), pc.if_else(bad, pa.scalar(None, b.schema.field(at).type), b.column(at)))
+            left = b.set_column(at, b.schema.field(at), pa.array([None if any(f) else x for x, f in zip(own, fails, strict=True)], pa.binary()).cast(b.schema.field(at).type))
             yield pa.RecordBatch.from_arrays([*left.columns, *(pa.array(c, pa.bool_()) for c in zip(*fails, strict=True))], names=schema.names)
 
     rows = stash(map_rows(given, run, schema), "judged")
