@@ -107,6 +107,7 @@ def test_files_without_entities(spark, tmp_path):
     assert "player_death" in names
     assert {"chat_message", "server_message", "server_cvar"} <= {*names}
     assert r.event("server_message").count() > 0
+    assert {"user_name", "user_steamid"} <= set(r.event("player_death").columns)
     assert [x.steamid for x in r.voice().collect()] == [9]
     assert r.skins().count() == 1
     assert r.header().select(F.col("header")["map_name"]).first()[0] == "de_test"

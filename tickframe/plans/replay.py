@@ -256,6 +256,8 @@ class Replay:
 
     def registered(self, rows: DataFrame, key: str, column: str, how: str = "inner") -> DataFrame:
         """``rows`` with ``name, steamid, pawn_id, controller_id, team_num`` of the player whose ``column`` equals ``key`` at their ``seq``."""
+        if how == "left" and "players" not in self.tables:
+            return rows.withColumns({c: F.lit(None).cast(t) for c, t in (("name", "string"), ("steamid", "bigint"), ("pawn_id", "int"), ("controller_id", "int"), ("team_num", "int"))})
         who = self.table("players").select(F.col("demo_id").alias("__d"), F.col(column).alias("__k"), "name", "steamid", "pawn_id", "controller_id", "team_num", "from_seq", "to_seq")
         valid = (F.col("demo_id") == F.col("__d")) & (F.col(key) == F.col("__k")) & (F.col("seq") >= F.col("from_seq")) & (F.col("to_seq").isNull() | (F.col("seq") < F.col("to_seq")))
         return rows.join(who, valid, how).drop("__d", "__k", "from_seq", "to_seq")
@@ -383,6 +385,8 @@ class Replay:
             known = handles.user_of(rows, self.table("userinfo").select("demo_id", "userid", "name", "steamid"), code, "__user", ["demo_id"])
             told = self._player(known.withColumn("__of", F.col("__user_steamid").cast("bigint")), "__of", "steamid", prefix, props)
             told = told.withColumn(f"{prefix}_steamid", F.col("__user_steamid"))
+            if "players" not in self.tables:  # entities were not asked for
+                told = told.withColumn(f"{prefix}_name", F.col("__user_name"))
         return told.drop("__of", "__user_name", "__user_steamid")
 
     def _player(self, rows: DataFrame, key: str, column: str, prefix: str, props: list[str], *, keep_id: bool = False, named: bool = True) -> DataFrame:
