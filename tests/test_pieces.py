@@ -67,6 +67,12 @@ def shuffled(spark, df):
     return [tuple(r) for r in df.collect()], written() - before
 
 
+def test_ticks_do_not_shuffle_all_pairs(spark, replay):
+    got, mb = shuffled(spark, replay[0].ticks(["health"]).select("tick", "steamid", "health"))
+    assert sorted(map(str, got)) == sorted(map(str, replay[1]))
+    assert mb < 1
+
+
 def test_states_do_not_shuffle_all_pairs(spark, replay):
     want, missed = [], set()
     for k, steamid, health in replay[1]:  # by tick, then by pawn
