@@ -28,6 +28,18 @@ def test_pieces_meet_their_points(spark, size):
     assert sorted(map(tuple, below)) == sorted((k, s, r) for k, s in points for r in over(k, s) if first(k, s) is None or r < first(k, s))
 
 
+def test_lists_of_points_and_shards_of_pieces(spark, monkeypatch):
+    """Lists shorter than a bucket, with points of one place in different lists, and pieces in three shards."""
+    monkeypatch.setattr(ranges, "CELL", 4)
+    rng = random.Random(5)
+    points = [(d, rng.randint(50, 90), k) for d in "ab" for k in range(60)]
+    pieces = [(rng.choice("abc"), rng.randint(0, 60), a, rng.choice([None, a, a + 1, a + rng.randint(0, 40)])) for a in (rng.randint(30, 95) for _ in range(150))]
+    p, q = spark.createDataFrame(points, "k string, s long, n int"), spark.createDataFrame(pieces, "k string, r long, __from long, __to long")
+    widths = ranges.bucket_widths(p.groupBy("k").agg(F.min("s").alias("__low"), F.max("s").alias("__high"), F.count("s").alias("__points")), 20, 3)
+    got = ranges.points_in_pieces(p, q, ["k"], "s", widths).select("k", "s", "n", "r").collect()
+    assert sorted(map(tuple, got)) == sorted((k, s, n, r) for k, s, n in points for d, r, a, z in pieces if d == k and a <= s and (z is None or s < z))
+
+
 def test_next_rows_are_found_across_segments(spark):
     rows = spark.createDataFrame([("a", 1), ("a", 5), ("a", 93), ("b", 7)], "k string, s long")
     assert sorted(map(tuple, state.until_next(rows, "k", "s", "n", 10).collect()), key=str) == [("a", 1, 5), ("a", 5, 93), ("a", 93, None), ("b", 7, None)]
@@ -81,3 +93,27 @@ def test_states_do_not_shuffle_all_pairs(spark, replay):
     got, mb = shuffled(spark, replay[0].ticks(["health"], prop_states=[WantedPropState("health", 0)]).select("tick", "steamid", "health"))
     assert sorted(map(str, got)) == sorted(map(str, want)) and want
     assert mb < 1
+
+
+def rows_shuffled(spark):
+    sc, jvm = spark.sparkContext._jsc.sc(), spark.sparkContext._jvm
+    sc.listenerBus().waitUntilEmpty(30_000)
+    stages = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+def test_players_that_stay_are_not_shuffled_for_each_few_ticks(spark):
+    """2000 players whose health never changes stand over 8000 ticks in one row, not in one for each 256."""
+    made = lambda n, *columns: spark.range(n).selectExpr("'d' demo_id", *columns)
+    players = made(2000, "int(id) pawn_id", "int(1000 + id) controller_id", "5000 + id steamid", "concat('p', id) name", "2 team_num", "id from_seq", "cast(null as long) to_seq")
+    log = made(2000, "int(id) entity_id", "id seq", "1 tick", "'CCSPlayerPawn.m_iHealth' prop", "string(id % 100) value")
+    ticks = made(8000, "0 segment_id", "id seq", "int(id) tick", "id net_tick")
+    rows = Replay({"updates": log, "ticks": ticks, "players": players}).ticks(["health"])
+    before = rows_shuffled(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # tables of this size would be broadcast
+    try:
+        got = [tuple(r) for r in rows.agg(F.count("*"), F.sum("health"), F.sum("tick")).collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == [(sum(8000 - k for k in range(2000)), sum((8000 - k) * (k % 100) for k in range(2000)), sum(t * min(t + 1, 2000) for t in range(8000)))]
+    assert rows_shuffled(spark) - before < 60_000
